@@ -1,4 +1,8 @@
 """All registered queries of the core, by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from koengine.plans import feed
+
+_MODULES = (feed,)
+
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
