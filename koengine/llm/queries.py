@@ -16,5 +16,99 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.expand_copies(near, members, 10).select(F.col("key_a").alias("koid_a"), F.col("key_b").alias("koid_b"))
 
 
-QUERIES = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered, overlapping pieces of every oversized block."""
+    from koengine.llm.split import split_oversized
+
+    return split_oversized(table(spark, sf_dir, "ast_node"), table(spark, sf_dir, "chunk_profile"), key="node_id", text="text", kind="block_type")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that are above their limit: those that the splitter cut."""
+    return p3_pieces(spark, sf_dir).where("piece_no = 1").select("node_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surviving row of each field of each group of conflicts that report one contradiction."""
+    from koengine.llm.survivor import survivors
+
+    c = table(spark, sf_dir, "entity_conflict")
+    c = c.withColumn("property_key", F.regexp_replace(F.lower("property_name"), r"[\s_\-./]+", ""))
+    out = survivors(
+        c, group=("document_id", "koid", "property_key"), key="conflict_id", bundles=(("document_value",), ("existing_value",), ("severity",)),
+        trust=(F.try_element_at("evidence", F.lit(1))["confidence"], F.col("detected_at")),
+    )
+    return out.select("field_name", "conflict_id")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k."""
+    from koengine.llm.tokens import encode_corpus
+
+    return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from koengine.llm.mixing import mix_sources, with_sizes
+
+    sized = with_sizes(table(spark, sf_dir, "documents"), key="doc_id", source="source", text="text")
+    return mix_sources(sized, table(spark, sf_dir, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: each use of a document, with its slot in the schedule."""
+    return _mixture(spark, sf_dir).withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by the mixture, beside the targets."""
+    from koengine.llm.mixing import share_report
+
+    return share_report(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of template residue, filler, error pages or script notices."""
+    from koengine.llm.residue import find_residue
+
+    return find_residue(table(spark, sf_dir, "documents"), key="doc_id", text="text", host="collection").select("doc_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+}
+ORACLES: dict[str, str] = {
+    "p3_found": """
+SELECT DISTINCT a.node_id FROM ast_node a JOIN chunk_profile p ON p.block_type = coalesce(a.block_type, 'Unknown')
+WHERE length(a.text) > p.max_chars""",
+    "p7_found": r"""
+WITH rows AS (
+  SELECT DISTINCT document_id, koid, regexp_replace(lower(property_name), '[\s_\-./]+', '', 'g') AS prop, conflict_id,
+         evidence[1].confidence AS conf, detected_at, document_value, existing_value, severity
+  FROM entity_conflict WHERE document_id IS NOT NULL AND koid IS NOT NULL AND property_name IS NOT NULL
+), groups AS (
+  SELECT document_id, koid, prop FROM rows GROUP BY ALL HAVING count(DISTINCT conflict_id) >= 2
+), vals AS (
+  SELECT document_id, koid, prop, conflict_id, conf, detected_at, 'document_value' AS field_name, document_value AS v FROM rows
+  UNION ALL SELECT document_id, koid, prop, conflict_id, conf, detected_at, 'existing_value', existing_value FROM rows
+  UNION ALL SELECT document_id, koid, prop, conflict_id, conf, detected_at, 'severity', severity FROM rows
+), good AS (
+  SELECT *, regexp_replace(lower(v), '\s+', '', 'g') AS k FROM vals JOIN groups USING (document_id, koid, prop)
+  WHERE v IS NOT NULL
+), usable AS (
+  SELECT * FROM good WHERE k NOT IN ('', '-', '--', '?', 'n/a', 'k.a.', 'none', 'null', 'tbd', 'unknown', 'notstated')
+    AND NOT regexp_matches(k, '(\.\.+|…)$')
+), best AS (
+  SELECT document_id, koid, prop, field_name, k, min(conflict_id) AS conflict_id, max(struct_pack(c := coalesce(conf, -1), d := detected_at)) AS t
+  FROM usable GROUP BY ALL
+)
+SELECT field_name, conflict_id FROM best
+QUALIFY row_number() OVER (PARTITION BY document_id, koid, prop, field_name ORDER BY t DESC, k) = 1""",
+}
