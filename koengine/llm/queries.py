@@ -16,6 +16,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.expand_copies(near, members, 10).select(F.col("key_a").alias("koid_a"), F.col("key_b").alias("koid_b"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose name means an entry of kb_entry without being its name letter for letter."""
+    from koengine.llm.names import link_names
+
+    entity = table(spark, sf_dir, "entity_candidate").select(F.lit("entity").alias("record_kind"), F.col("candidate_id").alias("record_id"), "name")
+    conflict = table(spark, sf_dir, "entity_conflict").where("koid IS NULL").select(F.lit("conflict").alias("record_kind"), F.col("conflict_id").alias("record_id"), F.col("entity_name").alias("name"))
+    kb = table(spark, sf_dir, "kb_entry")
+    records = entity.unionByName(conflict).where("name IS NOT NULL").distinct()
+    links = link_names(records, kb)
+    exact = kb.select("koid", "name")
+    return records.join(links, "name").join(exact, ["koid", "name"], "left_anti").select("record_kind", "record_id", "koid")
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered, overlapping pieces of every oversized block."""
     from koengine.llm.split import split_oversized
@@ -76,6 +89,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p7_found": p7_found,
