@@ -41,6 +41,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("piece_no = 1").select("node_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy lines of every scanned page, by type of noise."""
+    from koengine.llm.ocr import detect, noise_table
+
+    return noise_table(detect(table(spark, sf_dir, "ocr_page")))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scanned document as continuous paragraphs."""
+    from koengine.llm.ocr import repair
+
+    return repair(table(spark, sf_dir, "ocr_page"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surviving row of each field of each group of conflicts that report one contradiction."""
     from koengine.llm.survivor import survivors
@@ -92,6 +106,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_text": p4_text,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
