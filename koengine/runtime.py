@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -48,6 +47,8 @@ def materialize(df: DataFrame, name: str = "step", partition_by: str | None = No
     """Write ``df`` to the shared folder and read it back: an executor-loss-proof lineage cut."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/koengine/{name}-{uuid.uuid4().hex}"
+    if path.startswith(("file:", "/")):  # a mounted folder: leave nothing behind
+        atexit.register(_remove, path.removeprefix("file://"))
     writer = df.write.option("compression", "zstd").mode("error")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -59,20 +60,19 @@ def materialize(df: DataFrame, name: str = "step", partition_by: str | None = No
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors of a real cluster, so Python workers can import it."""
+    """Send this package to the executors, so Python workers can import it wherever they run."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    fd, out = tempfile.mkstemp(prefix="koengine-", suffix=".zip")
-    os.close(fd)
+    folder = tempfile.mkdtemp(prefix="koengine-code-")
+    atexit.register(_remove, folder)
+    out = os.path.join(folder, "koengine-code.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(out)
+    sc.addPyFile(out)  # copied to every executor by Spark
     _SHIPPED.add(sc.applicationId)
-    if out in sys.path:
-        sys.path.remove(out)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
