@@ -55,6 +55,25 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "ocr_page"))
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from koengine.llm.pii import find_personal
+
+    people = table(spark, sf_dir, "kb_entry").where("type_name = 'Person'")
+    return find_personal(table(spark, sf_dir, "ast_node"), people, key="node_id", text="text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item of personal information in the blocks' texts."""
+    return _personal(spark, sf_dir).select(F.col("key").alias("node_id"), "pii_type", "start_at")
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks' texts with typed placeholders."""
+    from koengine.llm.pii import redact
+
+    return redact(table(spark, sf_dir, "ast_node"), _personal(spark, sf_dir), key="node_id", text="text")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surviving row of each field of each group of conflicts that report one contradiction."""
     from koengine.llm.survivor import survivors
@@ -108,6 +127,8 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_text": p4_text,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
