@@ -39,7 +39,7 @@ ADDRESS = tuple(
         ("english", r"(?<![\w/])(?:(?:Flat|Apt\.?|Unit|Suite) \w{1,5}, ?)?\d{1,5}[A-Za-z]? (?:[^\W\d_a-z][\w'’\-]*[ ]){1,3}" + _STREET_EN + r"(?![\w])(?:,\s" + _CITY + r"(?:,? [A-Z]{1,2}\d[\dA-Z]? ?\d[A-Z]{2})?)?"),
         ("french", r"(?<![\w/])\d{1,4}(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd|chemin|place|allée|impasse|quai|route|cours) [^\n,;]{2,40}(?:,\s\d{5} " + _CITY + r")?"),
         ("german", r"(?<!\w)(?:[^\W\d_a-z][\wäöüß\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|steig|graben)|[^\W\d_a-z][\w\-]*(?:er|er-| )? ?(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring)) \d{1,4} ?[a-z]?(?![\w.])(?:,\s(?:D-)?\d{4,5} " + _CITY + r")?"),
-        ("spanish", r"(?<!\w)(?:c/|C/|calle|Calle|avda\.|Avda\.|avenida|Avenida|av\.|plaza|Plaza|paseo|Paseo) ?[^\n,;]{2,30},? \d{1,4}(?:, ?\d{1,2}\.?[ºª°o]? ?[A-Z]?)?(?:,\s(?:\d{5} )?" + _CITY + r")?"),
+        ("spanish", r"(?<!\w)(?:c/|C/|calle|Calle|avda\.|Avda\.|avenida|Avenida|av\.|plaza|Plaza|paseo|Paseo) ?[^\n,;\d]{2,30},? \d{1,4}(?:, ?\d{1,2}\.?[ºª°o]? ?[A-Z]?)?(?:,\s(?:\d{5} )?" + _CITY + r")?"),
     )
 )
 NUMBER = re.compile(
@@ -50,6 +50,8 @@ NUMBER = re.compile(
 )
 _TITLES = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Dame|Herr|Frau|Mme|Mlle|M|Sr|Sra|Señor|Señora|Ing|Dipl|Rev|Hon)"
 _WORD = re.compile(r"[^\W\d_][^\W\d_'’]*(?:-[^\W\d_]+)*|\S", re.U)
+_STOPS = frozenset(".!?。！？")
+_ABBREVIATED = frozenset("tel no nr dr prof mr mrs ms m ing dipl st".split())
 _FIRM = frozenset("llc inc ltd gmbh sa ab oy pty plc ag kg corp co limited incorporated company desk group team rota systems".split())
 # Words that announce a type, the seeds of its patterns.
 CUES = {
@@ -129,7 +131,7 @@ def _names(toks: list[tuple[str, int, int]], given: frozenset[str]) -> list[tupl
                     out.append((i, j, known(i), "GIF"))
             if b == "," and i + 2 < n:
                 c = kinds[i + 2]
-                if c == a and (a != "l" or short(i + 2)) or (c in words and short(i + 2)):
+                if c == a and (a != "l" or short(i + 2)):
                     out.append((i, i + 2, known(i + 2), "F,G"))
                     if i + 3 < n and kinds[i + 3] in ("I", "i"):
                         e = i + 4 if i + 4 < n and kinds[i + 4] == "." else i + 3
@@ -177,9 +179,11 @@ def read_text(text: str, given: frozenset[str]) -> list[tuple]:
         if l >= 1 and toks[l][0] == "." and re.fullmatch(_TITLES, toks[l - 1][0]):
             l -= 1
         left1 = "^" if gap(l) or l < 0 else word(l)
+        if left1 in _STOPS and word(l - 1) not in _ABBREVIATED:
+            left1 = "^"
         left2 = "^" if left1 == "^" or gap(l - 1) or l < 1 else word(l - 1)
         right1 = "$" if gap(j) or j + 1 >= len(toks) else word(j + 1)
-        right2 = "$" if right1 == "$" or gap(j + 1) or j + 2 >= len(toks) else word(j + 2)
+        right2 = "$" if right1 == "$" or right1 in _STOPS or gap(j + 1) or j + 2 >= len(toks) else word(j + 2)
         return f"{left2} {left1}", f"{left1} _ {right1}", f"{right1} {right2}"
 
     out = []
@@ -250,26 +254,29 @@ def score_graph(cands: DataFrame, rounds: int, threshold: float) -> DataFrame:
         F.struct(F.lit("l").alias("side"), F.col("l2").alias("p")), F.struct(F.lit("m").alias("side"), F.col("m2").alias("p")), F.struct(F.lit("r").alias("side"), F.col("r2").alias("p")),
         F.struct(F.lit("s").alias("side"), F.col("shape").alias("p")),
     )
+    cued = graph.groupBy("class", "kind", "shape").agg((F.sum(F.when(F.col("label") == 1.0, F.col("n")).otherwise(0)) / F.sum("n")).alias("cued"))
+    graph = materialize(graph.join(cued, ["class", "kind", "shape"]), "pii-graph")
     belief = graph.withColumn("score", F.coalesce("label", F.lit(0.0)))
     for _ in range(rounds):
         edges = belief.select("class", "kind", "n", "score", F.explode(pattern).alias("x")).select("class", "kind", "n", "score", "x.side", "x.p")
-        # shapes of persons say nothing; half a doubt for each pattern keeps rare ones below common ones
-        quality = edges.where("NOT (class = 'PERSON' AND side = 's')").groupBy("class", "kind", "side", "p").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 0.5)).alias("q"))
+        # shapes of persons say nothing, nor do patterns without a word; half a doubt for each pattern keeps rare ones below common ones
+        quality = edges.where("NOT (class = 'PERSON' AND side = 's')").where((F.col("side") == "s") | F.regexp_replace("p", "_", "").rlike(r"\p{L}")).groupBy("class", "kind", "side", "p").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 0.5)).alias("q"))
         quality = quality.where(F.col("q") >= 0.02)
         out = graph
         for side, col in (("l", "l2"), ("m", "m2"), ("r", "r2"), ("s", "shape")):
             q = quality.where(F.col("side") == side).select("class", "kind", F.col("p").alias(col), F.col("q").alias(f"q_{side}"))
             out = out.join(q, ["class", "kind", col], "left")
         context = F.greatest(*[F.coalesce(F.col(f"q_{s}"), F.lit(0.0)) for s in "lmr"])
-        numeric = 1 - (1 - context) * (1 - F.coalesce(F.col("q_s"), F.lit(0.0)))
+        # a shape that never follows a cue is believed in no context
+        numeric = F.when(F.coalesce("cued", F.lit(0.0)) >= 0.02, 1 - (1 - context) * (1 - F.coalesce("q_s", F.lit(0.0)))).otherwise(F.least(context, F.lit(0.4)))
         score = F.when(F.col("class") == "PERSON", context).otherwise(numeric)
         belief = materialize(out.select(*node, "seed", "n", "kind", "label", F.coalesce("label", score).alias("score"), score.alias("open")), "pii-belief")
     final = belief.withColumn("open", F.greatest("open", F.coalesce("label", F.lit(0.0)) * 0.6))
     best = final.groupBy(*node, "seed").agg(F.max(F.struct("open", "kind")).alias("x")).select(*node, "seed", F.col("x.open").alias("score"), F.col("x.kind").alias("kind")).where(F.col("score") >= threshold)
-    hits = cands.where("class <> 'EMAIL'").join(best, [*node, "seed"]).select("key", F.col("kind").alias("pii_type"), "start_at", "end_at", "score", (F.col("seed") != "").alias("seeded"))
-    mails = cands.where("class = 'EMAIL'").select("key", F.lit("EMAIL").alias("pii_type"), "start_at", "end_at", F.lit(1.0).alias("score"), F.lit(True).alias("seeded"))
-    # overlapping names: seeded first, then the better context, then the longer; a window over one text's findings
-    allof = hits.unionByName(mails).withColumn("rank", F.struct(F.col("seeded").cast("int").alias("a"), F.round("score", 2).alias("b"), (F.col("end_at") - F.col("start_at")).alias("c"), (-F.col("start_at")).alias("d")))
+    hits = cands.where("class <> 'EMAIL'").join(best, [*node, "seed"]).select("key", F.col("kind").alias("pii_type"), "start_at", "end_at", "score", (F.col("seed") != "").alias("seeded"), ((F.col("shape") == "GIF") & (F.col("seed") == "")).alias("odd"))
+    mails = cands.where("class = 'EMAIL'").select("key", F.lit("EMAIL").alias("pii_type"), "start_at", "end_at", F.lit(1.0).alias("score"), F.lit(True).alias("seeded"), F.lit(False).alias("odd"))
+    # overlaps: the better context (a doubt for an unknown word before an initial), then seeds, then the longer; a window over one text's findings
+    allof = hits.unionByName(mails).withColumn("rank", F.struct(F.round(F.col("score") - F.when(F.col("odd"), 0.2).otherwise(0.0), 1).alias("a"), F.col("seeded").cast("int").alias("b"), (F.col("end_at") - F.col("start_at")).alias("c"), (-F.col("start_at")).alias("d")))
     w = W.partitionBy("key").orderBy("start_at", "end_at").rowsBetween(-4, 4)
     rivals = allof.withColumn("near", F.collect_list(F.struct("start_at", "end_at", "rank")).over(w))
     wins = F.forall("near", lambda o: (o["end_at"] <= F.col("start_at")) | (o["start_at"] >= F.col("end_at")) | (o["rank"] <= F.col("rank")))
