@@ -73,7 +73,7 @@ def rrf(a: DataFrame, b: DataFrame, k: int, k0: int = 60, rank_base: int = 1) ->
 def weighted(a: DataFrame, b: DataFrame, k: int, wa: float = 0.5, wb: float = 0.5) -> DataFrame:
     """Weighted sum of two lists' scores; a row missing from a list scores 0 there."""
     both = a.select("koid", F.col("score").alias("sa")).join(b.select("koid", F.col("score").alias("sb")), "koid", "full_outer")
-    return top(both.select("koid", F.round(wa * F.coalesce("sa", F.lit(0.0)) + wb * F.coalesce("sb", F.lit(0.0)), DIGITS).alias("score")), k)
+    return top(both.select("koid", F.round(wa * F.coalesce("sa", F.lit(0.0)) + wb * F.coalesce("sb", F.lit(0.0)), DIGITS + 1).alias("score")), k)
 
 
 def predict(similar: DataFrame, properties: list[str]) -> DataFrame:
