@@ -22,7 +22,7 @@ def html_text(html: Column) -> Column:
     x = F.regexp_replace(x, r"<[^>]+>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(x, r"[ \t]+", " "))
+    return F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", "")
 
 
 def paragraphs(text: Column) -> Column:
