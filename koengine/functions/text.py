@@ -16,9 +16,9 @@ def tokens(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two token sets, 0 if either is empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Shared share of two token sets (lists without repeats), 0 if either is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
 def normalize_name(name: Column) -> Column:
