@@ -121,10 +121,29 @@ def usable_vectors(df: DataFrame, key: str, model: str, vector: str) -> DataFram
         d.groupBy("model", F.size("vec").alias("dim")).count()
         .groupBy("model").agg(F.max_by("dim", F.struct("count", "dim")).alias("dim"))
     )
-    sq = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, e: a + e.cast("double") * e.cast("double"))
-    d = d.join(dims, "model").where(F.size("vec") == F.col("dim"))
-    d = d.withColumn("n2", sq).where(F.col("n2").isNotNull() & ~F.isnan("n2") & (F.col("n2") > 0) & (F.col("n2") < F.lit(float("inf"))))
-    return d.select("key", "model", F.transform("vec", lambda e: (e / F.sqrt("n2")).cast("float")).alias("vec"))
+    d = d.join(dims, "model").where(F.size("vec") == F.col("dim")).select("key", "model", F.col("vec").cast("array<float>").alias("vec"))
+    kinds = dict(d.dtypes)
+    return d.mapInArrow(_unit_length, f"key {kinds['key']}, model string, vec array<float>")
+
+
+def _unit_length(batches):
+    """Vectors of unit length; those with a null, NaN or infinite element or without length are dropped."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        vec = b.column("vec")
+        n = pc.list_value_length(vec).to_numpy()
+        values = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+        if not len(n):
+            continue
+        ends = np.cumsum(n)
+        with np.errstate(all="ignore"):
+            square = np.add.reduceat(values * values, ends - n)
+            ok = np.isfinite(square) & (square > 0)
+            unit = (values / np.sqrt(np.repeat(square, n))).astype(np.float32)
+        flat = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(unit, pa.float32()))
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("model"), flat], ["key", "model", "vec"]).filter(pa.array(ok))
 
 
 def fit_forests(reps: DataFrame, counts: dict[str, int], trees: int, leaf_rows: int, sample_rows: int, seed: int) -> dict[str, list]:
