@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from koengine.runtime import materialize, ship_code
 
 SAMPLE_ROWS = 20_000
-LEAF_ROWS = 256
+LEAF_ROWS = 1024
 MAX_DEPTH = 14
 #: Ids of surplus copies up to this many (8 bytes each) are broadcast; more are joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
@@ -236,7 +236,7 @@ def _score_leaf(k: int, slack: int, min_cosine: float | None):
 
 def similar_vectors(
     df: DataFrame, key: str = "key", model: str = "model", vector: str = "vec", *, k: int = 10, min_cosine: float | None = None,
-    trees: int = 3, probes: int = 6, leaf_rows: int = LEAF_ROWS, slack: int = 10, sample_rows: int = SAMPLE_ROWS, seed: int = 7,
+    trees: int = 3, probes: int = 8, leaf_rows: int = LEAF_ROWS, slack: int = 10, sample_rows: int = SAMPLE_ROWS, seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """The ``k`` most similar vectors of the same model for every vector of ``df``.
 
