@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -83,6 +84,29 @@ def _blocks(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+@lru_cache(maxsize=200_000)
+def _kind(w: str) -> str:
+    """How a token is written: I or i an initial, U capitals, C capitalised, l small, F a firm's word, else the mark itself or nothing."""
+    if not w[0].isalpha():
+        return w
+    if len(w) == 1:
+        return "I" if w.isupper() else ("i" if w.islower() else "")
+    if w.lower() in _FIRM:
+        return "F"
+    if w.isupper():
+        return "U"
+    if all(p[:1].isupper() and p[1:].islower() for p in re.split(r"[-'’]", w) if p):
+        return "C"
+    return "l" if w.islower() else ("C" if w[0].isupper() else "")
+
+
+@lru_cache(maxsize=200_000)
+def _given(w: str, given: frozenset[str]) -> tuple[bool, bool]:
+    """Whether all parts of a word are known given names; whether they are known or short forms."""
+    parts = w.lower().split("-")
+    return all(p in given for p in parts), all(p in given or p in NICKNAMES for p in parts)
+
+
 def _names(toks: list[tuple[str, int, int]], given: frozenset[str]) -> list[tuple[int, int, bool, str]]:
     """(first token, last token, seed, shape) of person-like groups of tokens.
 
@@ -92,30 +116,14 @@ def _names(toks: list[tuple[str, int, int]], given: frozenset[str]) -> list[tupl
     out = []
     n = len(toks)
 
-    def kind(i: int) -> str:
-        if i >= n:
-            return ""
-        w = toks[i][0]
-        if not w[0].isalpha():
-            return w
-        if len(w) == 1:
-            return "I" if w.isupper() else ("i" if w.islower() else "")
-        if w.lower() in _FIRM:
-            return "F"
-        if w.isupper():
-            return "U"
-        if all(p[:1].isupper() and p[1:].islower() for p in re.split(r"[-'’]", w) if p):
-            return "C"
-        return "l" if w.islower() else ("C" if w[0].isupper() else "")
-
-    kinds = [kind(i) for i in range(n)]
+    kinds = [_kind(t[0]) for t in toks]
     words = ("C", "U", "l")
 
     def known(i: int) -> bool:
-        return all(p in given for p in toks[i][0].lower().split("-"))
+        return _given(toks[i][0], given)[0]
 
     def short(i: int) -> bool:
-        return all(p in given or p in NICKNAMES for p in toks[i][0].lower().split("-"))
+        return _given(toks[i][0], given)[1]
 
     for i in range(n):
         a = kinds[i]
