@@ -72,6 +72,21 @@ def edits(a: str, b: str, most: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # every edit brings in or takes out one letter at most
+    sa, sb = set(a), set(b)
+    if len(sa - sb) > most or len(sb - sa) > most:
+        return most + 1
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a or not b:
+        return len(a) + len(b)
+    if most == 1:
+        return 1 if (len(a), len(b)) == (1, 1) or (len(a) == 2 and a == b[::-1]) else 2
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         nxt = [i]
@@ -91,7 +106,8 @@ def near(a: str, b: str) -> bool:
     n = max(len(a), len(b))
     if min(len(a), len(b)) < 3:
         return a == b
-    return edits(a, b) <= (1 if n < 8 else 2)
+    most = 1 if n < 8 else 2
+    return edits(a, b, most) <= most
 
 
 def abbreviates(short: str, word: str) -> bool:
@@ -107,6 +123,7 @@ class Entries:
 
     def __init__(self, rows: list[tuple[str, str, str, list[str]]]):
         self.rows = rows
+        self.known_meanings: dict[str, set[str]] = {}
         words: dict[str, int] = defaultdict(int)
         for _, name, kind, _ in rows:
             if kind != "Person":
@@ -143,6 +160,14 @@ class Entries:
 
     def meanings(self, t: str) -> set[str]:
         """Common words that a token may stand for."""
+        got = self.known_meanings.get(t)
+        if got is None:
+            if len(self.known_meanings) > 200_000:
+                self.known_meanings.clear()
+            got = self.known_meanings[t] = self._meanings(t)
+        return got
+
+    def _meanings(self, t: str) -> set[str]:
         if t in self.common:
             return {t}
         got = {w for w in self.common if abbreviates(t, w) and w.startswith(t)} or {w for w in self.common if abbreviates(t, w)}
