@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from koengine.runtime import materialize, ship_code
+from koengine.runtime import materialize, ship_code, shuffle_parts
 
 MAX_INDEX_FORMS = 200_000
 
@@ -364,7 +364,8 @@ def link_names(names: DataFrame, entries: DataFrame, *, top_n: int = 12, least_c
                         out.append((name, koid, cos, fit))
             yield pd.DataFrame(out, columns=["name", "koid", "cosine", "fit"])
 
-    distinct = names.select("name").where(F.col("name").rlike(r"\S")).distinct()
+    # few bytes but much work a name: spread over all tasks, whatever their size
+    distinct = names.select("name").where(F.col("name").rlike(r"\S")).distinct().repartition(shuffle_parts(spark))
     pairs = materialize(distinct.mapInPandas(candidates, "name string, koid string, cosine double, fit double"), "name-pairs")
 
     # average linkage: cluster means over the entry's forms and the names that fit it alone and well
