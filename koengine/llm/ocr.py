@@ -27,6 +27,8 @@ from koengine.llm.names import edits
 from koengine.runtime import materialize, ship_code
 
 TRAIN_WORDS = 3000
+#: Edge lines of a document up to which all are compared with all; beyond, an exact join on shared parts is cheaper.
+DENSE_KEYS = 2_000
 HYPHENS = r"\-\x{AD}\x{2010}\x{2011}\x{AC}"
 SPECKS = r"[·^~|•¦'`´]+"
 
@@ -186,26 +188,52 @@ def edge_key(line: Column) -> Column:
     return F.regexp_replace(x, r"[^\p{L}]+", "")
 
 
-def furniture(lines: DataFrame, edge: int = 3) -> DataFrame:
+def _spans(text: Column, starts: Column, size: Column) -> Column:
+    return F.transform(starts, lambda i: F.struct(F.substring(text, i + 1, size).alias("part"), i.cast("int").alias("at")))
+
+
+def alike_keys(keys: DataFrame, dense: int = DENSE_KEYS) -> DataFrame:
+    """(document_id, slot, key, anchor) of every two of a slot's distinct keys within the anchor's edit distance, itself included.
+
+    Up to ``dense`` keys a slot are compared each with each. In longer documents an anchor within d
+    edits is cut into d + 1 parts, one of which every key alike must hold unchanged, shifted by d at
+    most: keys meet by such parts. Both ways find the same pairs.
+    """
+    most = lambda c: F.greatest(F.lit(2), F.floor(F.length(c) / 5)).cast("int")
+    sizes = keys.groupBy("document_id", "slot").agg(F.count("*").alias("n"))
+    k = keys.join(sizes, ["document_id", "slot"])
+    whole = F.array(F.struct(F.lit("").alias("part"), F.lit(0).alias("at")))
+    n, m = F.length("key"), most("key") + 1
+    cuts = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(F.floor(i * n / m).cast("int").alias("a"), F.floor((i + 1) * n / m).cast("int").alias("b")))
+    parts = F.transform(cuts, lambda c: F.struct(F.substring(F.col("key"), c["a"] + 1, c["b"] - c["a"]).alias("part"), c["a"].alias("at")))
+    # keys have 6 letters at least, parts 2 to 5
+    grams = F.concat(*[_spans(F.col("key"), F.sequence(F.lit(0), n - g), F.lit(g)) for g in (2, 3, 4, 5)])
+    few = F.col("n") <= dense
+    left = k.select("document_id", "slot", "key", F.explode(F.when(few, whole).otherwise(grams)).alias("x")).select("document_id", "slot", "key", "x.part", F.col("x.at").alias("key_at"))
+    right = k.select("document_id", "slot", F.col("key").alias("anchor"), F.explode(F.when(few, whole).otherwise(parts)).alias("x")).select("document_id", "slot", "anchor", "x.part", "x.at")
+    pairs = left.join(right, ["document_id", "slot", "part"]).where(F.abs(F.col("key_at") - F.col("at")) <= most("anchor")).where(F.abs(F.length("key") - F.length("anchor")) <= most("anchor"))
+    pairs = pairs.select("document_id", "slot", "key", "anchor").distinct()
+    return pairs.where((F.col("key") == F.col("anchor")) | (F.levenshtein("key", "anchor") <= most("anchor")))
+
+
+def furniture(lines: DataFrame, edge: int = 3, dense: int = DENSE_KEYS) -> DataFrame:
     """(page_id, line_no, running, numbered) of the lines that are furniture.
 
     A running line lies among the first or last ``edge`` lines of its page and is alike (edit
-    distance up to a fifth) one of its document's commonest edge lines, which recurs on at least two
-    pages and a third of the pages.
+    distance up to a fifth) an edge line of its document whose likes recur on at least two pages and
+    a third of the pages. Every edge line is tried.
     """
     near = lines.where((F.col("place") < edge) | (F.col("back") < edge))
     alone = near.withColumn("alone", F.col("line").rlike(PAGE_NUMBER)).withColumn("key", edge_key(F.col("line")))
     near = alone.where(~F.col("alone") & (F.length("key") >= 6) & (F.length("key") <= 80) & ~F.col("line").rlike(r"^\s*(?:\d+(?:\.\d+)+|Section \d+|§)"))
-    near = near.withColumn("slot", F.when(F.col("place") < edge, F.lit("t")).otherwise(F.lit("b")))
-    counts = near.groupBy("document_id", "slot", "key").agg(F.countDistinct("page_id").alias("n"))
-    anchors = counts.withColumn("r", F.row_number().over(W.partitionBy("document_id", "slot").orderBy(F.desc("n"), "key"))).where("r <= 4").select("document_id", "slot", F.col("key").alias("anchor"))
-    pairs = near.join(anchors, ["document_id", "slot"])
-    most = F.greatest(F.lit(2), F.floor(F.length("anchor") / 5)).cast("int")
-    pairs = pairs.where(F.abs(F.length("key") - F.length("anchor")) <= most).where(F.levenshtein("key", "anchor") <= most)
-    support = pairs.groupBy("document_id", "slot", "anchor").agg(F.countDistinct("page_id").alias("n"))
+    near = near.withColumn("slot", F.when(F.col("place") < edge, F.lit("t")).otherwise(F.lit("b"))).where("document_id IS NOT NULL")
+    near = materialize(near.select("document_id", "slot", "key", "page_id", "line_no", F.col("line").rlike(PAGE_INSIDE).alias("numbered")), "edges")
+    alike = materialize(alike_keys(near.select("document_id", "slot", "key").distinct(), dense), "alike")
+    support = near.select("document_id", "slot", "key", "page_id").join(alike, ["document_id", "slot", "key"]).groupBy("document_id", "slot", "anchor").agg(F.countDistinct("page_id").alias("n"))
     size = lines.groupBy("document_id").agg(F.countDistinct("page_id").alias("pages"))
     good = support.join(size, "document_id").where((F.col("n") >= 2) & (F.col("n") * 3 >= F.col("pages"))).select("document_id", "slot", "anchor")
-    running = pairs.join(good, ["document_id", "slot", "anchor"], "left_semi").select("page_id", "line_no", F.lit(True).alias("running"), F.col("line").rlike(PAGE_INSIDE).alias("numbered"))
+    found = alike.join(good, ["document_id", "slot", "anchor"], "left_semi").select("document_id", "slot", "key").distinct()
+    running = near.join(found, ["document_id", "slot", "key"], "left_semi").select("page_id", "line_no", F.lit(True).alias("running"), "numbered")
     pages = alone.where("alone").where((F.col("place") < 2) | (F.col("back") < 2)).select("page_id", "line_no", F.lit(False).alias("running"), F.lit(True).alias("numbered"))
     return running.unionByName(pages).groupBy("page_id", "line_no").agg(F.max("running").alias("running"), F.max("numbered").alias("numbered"))
 
