@@ -51,6 +51,13 @@ def text_inverted_candidates(spark, sf_dir):
     return search.token_candidates(people, F.col("name"), q.where(F.col("query_id").substr(-1, 1) == "0")).where("shared >= 2").select("query_id", F.col("koid").alias("name"), "shared")
 
 
+def text_inverted_candidates_all(spark, sf_dir):
+    """Every known entry against every typed name: all pairs that share a token."""
+    q = table(spark, sf_dir, "kb_entry").select(F.col("koid").alias("query_id"), F.col("name").alias("text"))
+    names = table(spark, sf_dir, "entity_candidate").select("name").where("name IS NOT NULL").distinct().select(F.col("name").alias("koid"), "name")
+    return search.token_candidates(names, F.col("name"), q).select("query_id", F.col("koid").alias("name"), "shared")
+
+
 def text_bm25_topk(spark, sf_dir):
     return search.bm25_search(_docs(spark, sf_dir), F.col("text"), QUERY, 10).select("doc_id", "score")
 
@@ -173,6 +180,15 @@ def _traverse(depth: int, direction: str = "out", rel: str | None = None):
     return run
 
 
+def _traverse_all(depth: int):
+    def run(spark, sf_dir):
+        """From every order."""
+        seeds = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders:"), "o_orderkey").alias("koid"))
+        return graph.traverse(edges(spark, sf_dir), seeds, depth).select("koid", "rel_type", "depth")
+
+    return run
+
+
 def traverse_multi_seed(spark, sf_dir):
     return graph.traverse(edges(spark, sf_dir), _seed(spark, "customer:1", "customer:2", "supplier:3", "nation:4"), 2).select("koid", "rel_type", "depth")
 
@@ -198,6 +214,7 @@ def _traverse_sql(depth: int, seeds: str, both: bool = False, inward: bool = Fal
     return _EDGES + f", step AS ({step}), h0 AS ({seeds}), " + ", ".join(hops) + " " + " UNION ALL ".join(f"SELECT koid, rel_type, depth FROM h{i}" for i in range(1, depth + 1))
 
 
+_ALL = "SELECT DISTINCT 'orders:' || o_orderkey AS koid FROM orders"
 _FIFTY = "SELECT DISTINCT 'orders:' || o_orderkey AS koid FROM orders WHERE o_orderkey % 50 = 0"
 
 QUERIES = {
@@ -215,6 +232,7 @@ QUERIES = {
     "ontology_expand_union": _match("MATCH Party RETURN *"),
     "text_jaccard_topk": text_jaccard_topk,
     "text_inverted_candidates": text_inverted_candidates,
+    "text_inverted_candidates_all": text_inverted_candidates_all,
     "text_bm25_topk": text_bm25_topk,
     "ann_topk": ann_topk,
     "ann_model_filter": ann_model_filter,
@@ -230,6 +248,9 @@ QUERIES = {
     "traverse_depth1": _traverse(1),
     "traverse_depth2": _traverse(2),
     "traverse_depth3": _traverse(3),
+    "traverse_all_depth1": _traverse_all(1),
+    "traverse_all_depth2": _traverse_all(2),
+    "traverse_all_depth3": _traverse_all(3),
     "traverse_inbound": _traverse(2, "in"),
     "traverse_both": _traverse(2, "both"),
     "traverse_multi_seed": traverse_multi_seed,
@@ -265,6 +286,10 @@ UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'supplier', 1::BIGINT, NULL, NULL,
 WITH q AS (SELECT koid AS query_id, unnest({_PERSONS}) AS token FROM kb_entry WHERE type_name = 'Person' AND koid LIKE '%0'),
 d AS (SELECT name, unnest({_PERSONS}) AS token FROM (SELECT DISTINCT name FROM entity_candidate WHERE name IS NOT NULL))
 SELECT query_id, name, count(*) AS shared FROM d JOIN q USING (token) GROUP BY ALL HAVING count(*) >= 2""",
+    "text_inverted_candidates_all": f"""
+WITH q AS (SELECT koid AS query_id, unnest({_PERSONS}) AS token FROM kb_entry),
+d AS (SELECT name, unnest({_PERSONS}) AS token FROM (SELECT DISTINCT name FROM entity_candidate WHERE name IS NOT NULL))
+SELECT query_id, name, count(*) AS shared FROM d JOIN q USING (token) GROUP BY ALL""",
     "text_bm25_topk": _BM25,
     "ann_topk": f"""
 SELECT query_id, id, cosine, rank::INTEGER AS rank FROM (
@@ -296,6 +321,9 @@ WHERE score > 0 ORDER BY score DESC, koid LIMIT 10""",
     "traverse_depth1": _traverse_sql(1, _FIFTY),
     "traverse_depth2": _traverse_sql(2, _FIFTY),
     "traverse_depth3": _traverse_sql(3, _FIFTY),
+    "traverse_all_depth1": _traverse_sql(1, _ALL),
+    "traverse_all_depth2": _traverse_sql(2, _ALL),
+    "traverse_all_depth3": _traverse_sql(3, _ALL),
     "traverse_inbound": _traverse_sql(2, "SELECT 'region:1' AS koid", inward=True),
     "traverse_both": _traverse_sql(2, "SELECT 'region:1' AS koid", both=True),
     "traverse_multi_seed": _traverse_sql(2, "SELECT unnest(['customer:1', 'customer:2', 'supplier:3', 'nation:4']) AS koid"),
