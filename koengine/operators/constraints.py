@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import NumericType
 
 from koengine.functions.checks import parse_check, violates
 
@@ -75,14 +76,16 @@ def cardinality(edges: DataFrame, rel_type: str, most: int) -> DataFrame:
     return edges.where(F.col("rel_type") == rel_type).groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most)
 
 
-def mine(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(property, rows, filled, distinct_values, low, high) of numeric columns: every statistic in one aggregation."""
-    numeric = list(columns)
+def mine(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(property, rows, filled, distinct_values, low, high) of the columns (all, unless given): every statistic in one aggregation; low and high of numbers only."""
+    mined = list(df.columns if columns is None else columns)
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    bound = lambda f, c: f(F.col(c).cast("double")) if c in numeric else F.lit(None).cast("double")
     stats = df.agg(
         F.count("*").alias("rows"),
-        *[a for c in numeric for a in (F.count(c).alias(f"f_{c}"), F.count_distinct(c).alias(f"d_{c}"), F.min(F.col(c).cast("double")).alias(f"l_{c}"), F.max(F.col(c).cast("double")).alias(f"h_{c}"))],
+        *[a for c in mined for a in (F.count(c).alias(f"f_{c}"), F.count_distinct(c).alias(f"d_{c}"), bound(F.min, c).alias(f"l_{c}"), bound(F.max, c).alias(f"h_{c}"))],
     )
-    lines = F.array(*[F.struct(F.lit(c).alias("property"), F.col("rows"), F.col(f"f_{c}").alias("filled"), F.col(f"d_{c}").alias("distinct_values"), F.col(f"l_{c}").alias("low"), F.col(f"h_{c}").alias("high")) for c in numeric])
+    lines = F.array(*[F.struct(F.lit(c).alias("property"), F.col("rows"), F.col(f"f_{c}").alias("filled"), F.col(f"d_{c}").alias("distinct_values"), F.col(f"l_{c}").alias("low"), F.col(f"h_{c}").alias("high")) for c in mined])
     return stats.select(F.explode(lines).alias("x")).select("x.*")
 
 

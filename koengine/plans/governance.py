@@ -163,6 +163,23 @@ def mine_range(spark, sf_dir):
     return c.mine_range(_stats(spark, sf_dir))
 
 
+def _stats_all(spark, sf_dir):
+    return c.mine(table(spark, sf_dir, "documents"))
+
+
+def mine_all_not_null(spark, sf_dir):
+    """Of every column of documents."""
+    return c.mine_not_null(_stats_all(spark, sf_dir), 0.5)
+
+
+def mine_all_unique(spark, sf_dir):
+    return c.mine_unique(_stats_all(spark, sf_dir))
+
+
+def mine_all_range(spark, sf_dir):
+    return c.mine_range(_stats_all(spark, sf_dir))
+
+
 def immutable_provenance(spark, sf_dir):
     return c.immutable_changes(table(spark, sf_dir, "ko").select("koid", "version", "tenant", "origin"), ["tenant", "origin"])
 
@@ -195,6 +212,7 @@ def conform_rename(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     latest_version, snapshot_at, lineage_trace, replay_after_seq, event_kind_filter, audit_chain_build, audit_chain_verify, commit_clock, acl_row_filter, tenant_filter, policy_eval, role_closure, tenant_quota,
     constraint_range, constraint_format, constraint_enum, constraint_length, constraint_pattern, constraint_check_expr, unique_violations, dangling_refs, cardinality_violations, mine_not_null, mine_unique, mine_range,
+    mine_all_not_null, mine_all_unique, mine_all_range,
     immutable_provenance, type_counts, audit_inventory, discover_ontology_props, conform_rename,
 )}
 
@@ -204,6 +222,8 @@ WITH s AS (
   SELECT 'n_chars' AS property, count(*) AS rows, count(n_chars) AS filled, count(DISTINCT n_chars) AS d, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high FROM documents
   UNION ALL SELECT 'doc_id', count(*), count(doc_id), count(DISTINCT doc_id), min(doc_id)::DOUBLE, max(doc_id)::DOUBLE FROM documents)
 """
+_TEXTS = ("text", "lang", "source", "collection", "mime_type", "ingested_at")
+_MINE_ALL = _MINE.rstrip().removesuffix(")") + "".join(f"  UNION ALL SELECT '{p}', count(*), count({p}), count(DISTINCT {p}), NULL, NULL FROM documents\n" for p in _TEXTS) + ")\n"
 ORACLES = {
     "latest_version": _HEADS + " SELECT koid, version, commit_ts, state, type_name FROM heads",
     "snapshot_at": f"SELECT DISTINCT ON (koid) koid, version, commit_ts, state FROM ko WHERE commit_ts <= {AT} ORDER BY koid, version DESC",
@@ -244,6 +264,9 @@ UNION ALL SELECT doc_id, 'check.size' FROM documents WHERE source IS NULL OR n_c
     "mine_not_null": _MINE + "SELECT property, round(filled / rows, 6) AS confidence FROM s WHERE filled / rows >= 0.5",
     "mine_unique": _MINE + "SELECT property, round(d / filled, 6) AS confidence, filled - d AS violations FROM s WHERE filled >= 2",
     "mine_range": _MINE + "SELECT property, low, high, 1.0::DOUBLE AS confidence FROM s WHERE low <> high",
+    "mine_all_not_null": _MINE_ALL + "SELECT property, round(filled / rows, 6) AS confidence FROM s WHERE filled / rows >= 0.5",
+    "mine_all_unique": _MINE_ALL + "SELECT property, round(d / filled, 6) AS confidence, filled - d AS violations FROM s WHERE filled >= 2",
+    "mine_all_range": _MINE_ALL + "SELECT property, low, high, 1.0::DOUBLE AS confidence FROM s WHERE low <> high",
     "immutable_provenance": """
 WITH v AS (SELECT DISTINCT koid, version, tenant, origin FROM ko),
 l AS (SELECT *, lag(version) OVER w AS pv, lag(tenant) OVER w AS pt, lag(origin) OVER w AS po FROM v WINDOW w AS (PARTITION BY koid ORDER BY version))
