@@ -69,6 +69,39 @@ def conflict_classes(facts: DataFrame) -> DataFrame:
     return v.join(n, ["koid", "property"])
 
 
+#: Words that oppose each other.
+OPPOSED = (("must", "must not"), ("shall", "shall not"), ("should", "should not"), ("always", "never"), ("required", "optional"), ("enabled", "disabled"), ("sync", "async"))
+
+
+def _word_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(entity, x, y, jaccard) of statements x of ``left`` and y of ``right`` that share a word under equal ``keys``."""
+    side = lambda d, name: d.select(*keys, F.col("statement").alias(name), F.size("words").alias(f"n_{name}"), F.explode("words").alias("w"))
+    both = side(left, "x").join(side(right, "y"), [*keys, "w"]).where("x <> y").groupBy(*keys, "x", "y", "n_x", "n_y").agg(F.count("*").alias("s"))
+    return both.select("entity", "x", "y", (F.col("s") / (F.col("n_x") + F.col("n_y") - F.col("s"))).alias("jaccard"))
+
+
+def statement_conflicts(facts: DataFrame) -> DataFrame:
+    """(entity, a, b, kind) of two statements of one entity: opposed (``contradiction``; topics without the opposed words share more than 0.4) or nearly alike (``ambiguous``; 0.7 to 0.95).
+
+    ``facts`` has (entity, statement). A statement of the negative word does not count as one of the
+    positive word that lies in it. Pairs meet by shared words, so none that can score is left out.
+    """
+    f = facts.where("entity IS NOT NULL AND statement IS NOT NULL").select("entity", "statement").distinct()
+    low = F.lower("statement")
+    words = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "))
+    sides = []
+    for i, (yes, no) in enumerate(OPPOSED):
+        rest = F.replace(low, F.lit(no), F.lit(""))
+        sides += [F.when(rest.contains(yes), F.struct(F.lit(i).alias("pair"), F.lit(True).alias("yes"), words(F.replace(rest, F.lit(yes), F.lit(""))).alias("words")))]
+        sides += [F.when(low.contains(no), F.struct(F.lit(i).alias("pair"), F.lit(False).alias("yes"), words(rest).alias("words")))]
+    topics = f.select("entity", "statement", F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())).alias("t")).select("entity", "statement", "t.*")
+    against = _word_pairs(topics.where("yes"), topics.where(~F.col("yes")), ["entity", "pair"]).where("jaccard > 0.4")
+    plain = f.withColumn("words", words(F.col("statement")))
+    alike = _word_pairs(plain, plain, ["entity"]).where("jaccard > 0.7 AND jaccard < 0.95")
+    ends = lambda d, kind: d.select("entity", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(kind).alias("kind"))
+    return ends(against, "contradiction").unionByName(ends(alike, "ambiguous")).distinct()
+
+
 def staleness(facts: DataFrame) -> DataFrame:
     """(koid, property, value, status): the value of highest confidence (then latest, then least) is authoritative, other values are divergent.
 
