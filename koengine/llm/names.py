@@ -1,15 +1,24 @@
-"""Variant spellings of names typed by people, linked to known entries.
+"""Variant spellings of names typed by people, linked to known entries and grouped among themselves.
 
 1. Names become bags of normalised tokens: accents, case, titles and punctuation go, joined words
-   are parted, nicknames and abbreviations also stand for what they abbreviate.
-2. Character trigrams of the tokens, weighted by inverse frequency over the entries' forms, give
-   unit vectors; every distinct name is joined with the entries by sparse top-n cosine. The index of
-   the entries is broadcast only while it is small (``MAX_INDEX_FORMS``); beyond that the join is a
-   shuffled gram join.
-3. Candidate pairs are checked token by token (family name and given name, or firm name and trade).
-4. Average linkage groups what is left: the mean cosine of a name with all members of an entry's
-   cluster is its product with the mean of their vectors, so clusters are averaged by a distributed
-   aggregation, and a name joins the cluster of highest average.
+   are parted. Equal bags are one row from here on.
+2. Short forms are learned, not listed: a token is short for a given name if it stands with that
+   name's families far more often than with others' (:func:`learn_short_forms`), in the aliases or
+   in the typed names, or if its stem lies in the name (:func:`resembles`). A firm's acronym of one
+   owner stands for the firm's words. Both stand for the meant words in the vectors.
+3. Each distinct token is a unit vector of its character trigrams, weighted by inverse frequency.
+   A sparse cosine join (:func:`sparse_join`: shared dimensions meet in a shuffled join, hot ones
+   salted by their counts, products are summed, the top n above a threshold stay) meets the typed
+   tokens with the entries' tokens. A name is then a vector over the entries' tokens, weighted by
+   their inverse frequency and by the cosines just found, and the same join meets names and
+   entries. No index leaves the cluster: only the trigrams' weights (38 symbols, so 54,872 at most)
+   and the words common to a hundredth of the firms are broadcast.
+4. Average linkage decides: the mean cosine of a name with all members of an entry's cluster is its
+   product with the mean of their vectors, so clusters are averaged by a distributed aggregation. A
+   name joins the cluster of highest average, if that is high enough and an exact check token by
+   token (family and given name, firm name and trade) lets it in at all.
+5. Names that mean no entry are grouped among themselves by average linkage, in rounds of
+   reciprocal merges (:func:`average_linkage`).
 """
 
 from __future__ import annotations
@@ -21,31 +30,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from koengine.runtime import materialize, ship_code, shuffle_parts
 
-MAX_INDEX_FORMS = 200_000
+#: Products of one dimension (left rows times right rows) beyond which its rows are spread over several tasks.
+HOT_PRODUCTS = 2_000_000
 
 # Titles, legal forms and joining words that carry no identity.
 TITLES = frozenset("dr prof professor mr mrs ms miss mx sir dame herr frau mme mlle m dipl ing dipling med jur hon rev señor senor sr sra jr ii iii phd msc".split())
 LEGAL = frozenset("llc inc incorporated ltd limited gmbh sa ab oy pty proprietary plc ag kg corp corporation co company cie nv bv se spa srl lp llp".split())
 JOINING = frozenset("the of and und for".split())
-# Short forms of given names (public usage), each with the names it may stand for.
-NICKNAMES = {
-    "alex": "alexander alexandra", "sandy": "alexander", "xander": "alexander", "sasha": "alexander", "al": "alexander albert", "ben": "benedict benjamin", "benny": "benedict benjamin", "bene": "benedict",
-    "chris": "christopher christina", "kit": "christopher", "topher": "christopher", "cor": "cornelius", "neil": "cornelius", "con": "cornelius constance", "connie": "constance cornelius", "nelius": "cornelius",
-    "lola": "dolores", "del": "dolores delphine", "dolly": "dolores", "delphie": "delphine", "fina": "josephine delphine", "lolita": "dolores", "ed": "edward", "eddie": "edward", "eddy": "edward", "ted": "edward theodore", "teddy": "edward theodore", "ned": "edward", "eds": "edward",
-    "beth": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth", "lisa": "elizabeth", "libby": "elizabeth", "bess": "elizabeth", "fran": "francesca", "franny": "francesca", "cesca": "francesca", "chesca": "francesca", "frankie": "francesca",
-    "fred": "friedrich frederick", "fritz": "friedrich", "fredi": "friedrich", "freddy": "friedrich frederick", "gabi": "gabrielle", "gaby": "gabrielle", "gabby": "gabrielle", "elle": "gabrielle", "lupe": "guadalupe", "lupita": "guadalupe", "hattie": "harriet", "harri": "harriet", "hatty": "harriet", "harry": "harriet henry",
-    "hilda": "hildegard", "hilde": "hildegard", "nacho": "ignacio", "iggy": "ignacio", "irmi": "irmgard", "irma": "irmgard", "hannes": "johannes", "jo": "johannes josephine joseph", "hans": "johannes", "johan": "johannes", "josie": "josephine", "josy": "josephine", "posy": "josephine", "joe": "joseph josephine",
-    "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kat": "katherine", "kitty": "katherine", "kath": "katherine", "kay": "katherine", "leo": "leonhard leonard", "lenny": "leonhard leonard", "len": "leonhard leonard", "hardy": "leonhard", "lucy": "lucinda", "cindy": "lucinda", "lu": "lucinda", "lucia": "lucinda",
-    "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "greta": "margaret", "marge": "margaret", "rita": "margaret", "madge": "margaret", "tilda": "mathilde", "tilly": "mathilde", "mattie": "mathilde", "thilde": "mathilde", "nat": "nathaniel natalie", "nate": "nathaniel", "nathan": "nathaniel", "than": "nathaniel",
-    "tavi": "octavia", "tavy": "octavia", "via": "octavia", "oz": "oswald", "ozzie": "oswald", "ozzy": "oswald", "waldo": "oswald", "pat": "patricia patrick", "patty": "patricia", "trish": "patricia", "tricia": "patricia", "patsy": "patricia", "quint": "quentin", "quin": "quentin", "quinn": "quentin",
-    "rai": "raimund", "ray": "raimund raymond", "mundi": "raimund", "rob": "robert", "bob": "robert", "bobby": "robert", "bert": "robert albert", "robbie": "robert", "dick": "richard", "rick": "richard", "rich": "richard", "richie": "richard", "ricky": "richard", "susan": "susannah", "sue": "susannah", "susie": "susannah", "suzy": "susannah", "sanna": "susannah", "suki": "susannah",
-    "theo": "theodore", "dora": "theodora", "uschi": "ursula", "ulla": "ursula", "ursel": "ursula", "val": "valentin valentine", "vali": "valentin", "tino": "valentin", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "vic": "victoria victor", "vikki": "victoria", "mina": "wilhelmina", "willa": "wilhelmina", "minnie": "wilhelmina", "billie": "wilhelmina", "helmi": "wilhelmina",
-    "will": "william", "bill": "william", "billy": "william", "willy": "william", "liam": "william", "zhenya": "yevgenia", "zhenia": "yevgenia", "genia": "yevgenia", "genya": "yevgenia", "zach": "zacharias", "zack": "zacharias", "zak": "zacharias", "zac": "zacharias",
-}
 
 
 def tokens_of(name: str | None) -> list[str]:
@@ -118,53 +113,49 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in it for c in short)
 
 
-class Entries:
-    """The known entries, made ready for checking. It is as large as the table of entries."""
-
-    def __init__(self, rows: list[tuple[str, str, str, list[str]]]):
-        self.rows = rows
-        self.known_meanings: dict[str, set[str]] = {}
-        words: dict[str, int] = defaultdict(int)
-        for _, name, kind, _ in rows:
-            if kind != "Person":
-                for t in set(tokens_of(name)):
-                    words[t] += 1
-        #: Words of many firms' names (trades, "international") do not tell firms apart by themselves.
-        firms = sum(k != "Person" for _, _, k, _ in rows)
-        self.common = {w for w, n in words.items() if n >= max(3, firms // 100) and w not in LEGAL}
-        self.parsed: dict[str, tuple] = {}
-        self.acronyms: dict[str, list[str]] = defaultdict(list)
-        self.cores: dict[tuple, list[str]] = defaultdict(list)
-        self.persons: dict[tuple, list[str]] = defaultdict(list)
-        for koid, name, kind, _ in rows:
-            t = tokens_of(name)
-            if kind == "Person":
-                full = [x for x in t if len(x) > 1]
-                given, family = (full[0], full[-1]) if full else ("", "")
-                self.parsed[koid] = ("P", given, family, {x for x in t if len(x) == 1})
-                self.persons[given[:1], family].append(koid)
-            else:
-                legal = [x for x in t if x in LEGAL]
-                core = [x for x in t if x not in self.common and x not in LEGAL]
-                trade = [x for x in t if x in self.common]
-                self.parsed[koid] = ("F", core, trade, legal)
-                self.cores[tuple(sorted(core))].append(koid)
-                for a in self.initials(t):
-                    self.acronyms[a].append(koid)
-
-    @staticmethod
-    def initials(t: list[str]) -> list[str]:
-        """Acronyms of a firm: of all words, and with one letter for a legal form of several words."""
-        body, legal = [x[0] for x in t if x not in LEGAL], [x[0] for x in t if x in LEGAL]
-        return sorted({"".join(body + legal), "".join(body + legal[:1])})
+@lru_cache(maxsize=100_000)
+def _sounds(w: str) -> str:
+    """A word with letters of one sound made one and doubled letters single."""
+    for a, b in (("ch", "k"), ("ck", "k"), ("ph", "f"), ("th", "t"), ("c", "k"), ("q", "k"), ("y", "i"), ("z", "s"), ("w", "v")):
+        w = w.replace(a, b)
+    return re.sub(r"(.)\1+", r"\1", w)
+
+
+@lru_cache(maxsize=200_000)
+def resembles(short: str, given: str) -> bool:
+    """By sound: ``short``, with or without a diminutive ending, lies in ``given`` or (two letters) opens it."""
+    if len(short) < 3 or len(short) >= len(given):
+        return False
+    s, g = _sounds(short), _sounds(given)
+    stem = re.sub(r"(?:ie|ei|e|i|a|o|er)$", "", s)
+    if len(stem) < 3:
+        return s in g if stem == s or len(s) > 2 and s in g else g.startswith(stem)
+    return stem in g or (s != stem and s[-1] == "i" and s[:2] == g[:2])
+
+
+# ---- entries
+
+
+def initials(t: list[str]) -> list[str]:
+    """Acronyms of a firm: of all words, and with one letter for a legal form of several words."""
+    body, legal = [x[0] for x in t if x not in LEGAL], [x[0] for x in t if x in LEGAL]
+    return sorted({"".join(body + legal), "".join(body + legal[:1])})
+
+
+class Words:
+    """Words of many firms' names (trades, "international"): they do not tell firms apart by themselves."""
+
+    def __init__(self, common: frozenset[str]):
+        self.common = common
+        self.known: dict[str, set[str]] = {}
 
     def meanings(self, t: str) -> set[str]:
         """Common words that a token may stand for."""
-        got = self.known_meanings.get(t)
+        got = self.known.get(t)
         if got is None:
-            if len(self.known_meanings) > 200_000:
-                self.known_meanings.clear()
-            got = self.known_meanings[t] = self._meanings(t)
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[t] = self._meanings(t)
         return got
 
     def _meanings(self, t: str) -> set[str]:
@@ -173,81 +164,76 @@ class Entries:
         got = {w for w in self.common if abbreviates(t, w) and w.startswith(t)} or {w for w in self.common if abbreviates(t, w)}
         return got or {w for w in self.common if len(t) >= 4 and near(t, w)}
 
-    def forms(self, koid: str, name: str, aliases: list[str]) -> list[list[str]]:
-        out = [tokens_of(name)] + [tokens_of(a) for a in aliases or []]
-        p = self.parsed[koid]
-        if p[0] == "F":
-            out += [[a] for a in self.initials(tokens_of(name))]
-        return [f for f in out if f]
-
-    def check(self, toks: list[str], koid: str) -> float:
-        """How well a name's tokens fit an entry, 0 if they do not."""
-        p = self.parsed[koid]
-        return self._person(toks, p) if p[0] == "P" else self._firm(toks, p, koid)
-
-    def _given(self, t: str, given: str, family: str) -> float:
-        if t == given:
-            return 1.0
-        if given in NICKNAMES.get(t, "").split():
-            return 0.95
-        if len(t) == 1:
-            # an initial names the entry only if no other entry shares initial and family name
-            return 0.6 if t == given[:1] and len(self.persons[t, family]) == 1 else 0.0
-        if len(t) >= 4 and near(t, given):
-            return 0.9
-        if len(t) >= 3 and any(given in full.split() and len(nick) >= 3 and edits(t, nick, 1) <= 1 for nick, full in NICKNAMES.items()):
-            return 0.8
-        return 0.0
 
-    def _person(self, toks: list[str], p: tuple) -> float:
-        _, given, family, mids = p
-        if len(toks) == 1:
-            return 0.7 if len(given) > 2 and near(toks[0], given + family) or near(toks[0], family + given) else 0.0
-        best = 0.0
-        for i, fam in enumerate(toks):
-            if not near(fam, family):
+def parse(toks: list[str], person: bool, words: Words) -> tuple[list[str], list[str], list[str]]:
+    """(given and family, initials) of a person, (own words, trade words) of a firm, as (head, rest, legal)."""
+    if person:
+        full = [x for x in toks if len(x) > 1]
+        return ([full[0], full[-1]] if full else ["", ""]), [x for x in toks if len(x) == 1], []
+    legal = [x for x in toks if x in LEGAL]
+    return [x for x in toks if x not in words.common and x not in LEGAL], [x for x in toks if x in words.common], legal
+
+
+def _given(t: str, given: str, shorts: frozenset, alone: bool) -> float:
+    if t == given:
+        return 1.0
+    if (t, given) in shorts:
+        return 0.95
+    if len(t) == 1:
+        # an initial names the entry only if no other entry shares initial and family name
+        return 0.6 if t == given[:1] and alone else 0.0
+    if len(t) >= 4 and near(t, given):
+        return 0.9
+    return 0.7 if resembles(t, given) else 0.0
+
+
+def fit_person(toks: list[str], head: list[str], mids: frozenset, shorts: frozenset, alone: bool) -> float:
+    """How well a name's tokens fit a person, 0 if they do not."""
+    given, family = head
+    if len(toks) == 1:
+        return 0.7 if len(given) > 2 and near(toks[0], given + family) or near(toks[0], family + given) else 0.0
+    best = 0.0
+    for i, fam in enumerate(toks):
+        if not near(fam, family):
+            continue
+        slip = edits(fam, family)
+        for j, giv in enumerate(toks):
+            if j == i:
+                continue
+            g = _given(giv, given, shorts, alone)
+            if not g:
                 continue
-            slip = edits(fam, family)
-            for j, giv in enumerate(toks):
-                if j == i:
-                    continue
-                g = self._given(giv, given, family)
-                if not g:
-                    continue
-                rest = [t for k, t in enumerate(toks) if k not in (i, j)]
-                if any(len(t) > 1 for t in rest) or (mids and any(t not in mids for t in rest)):
-                    continue
-                if rest and not mids:
-                    g -= 0.15
-                best = max(best, g - 0.05 * slip)
-        return best
-
-    def _firm(self, toks: list[str], p: tuple, koid: str) -> float:
-        _, core, trade, legal = p
-        if len(toks) == 1 and len(toks[0]) <= 6:
-            got = self.acronyms.get(toks[0])
-            if got:
-                return 0.7 if got == [koid] else 0.0
-        words = [t for t in toks if t not in LEGAL]
-        if not core or not words:
+            rest = [t for k, t in enumerate(toks) if k not in (i, j)]
+            if any(len(t) > 1 for t in rest) or (mids and any(t not in mids for t in rest)):
+                continue
+            if rest and not mids:
+                g -= 0.15
+            best = max(best, g - 0.05 * slip)
+    return best
+
+
+def fit_firm(toks: list[str], core: list[str], trade: list[str], alone: bool, words: Words) -> float:
+    """How well a name's tokens fit a firm, 0 if they do not. ``alone``: no other firm has these own words."""
+    mine = [t for t in toks if t not in LEGAL]
+    if not core or not mine:
+        return 0.0
+    left, slips = list(mine), 0
+    for c in core:
+        hit = min((t for t in left if near(t, c)), key=lambda t: edits(t, c), default=None)
+        if hit is None:
+            return 0.7 if len(mine) == 1 and _joined(mine[0], "".join(core), "".join(trade)) else 0.0
+        left.remove(hit)
+        slips += edits(hit, c)
+    known = set(trade)
+    for t in left:
+        m = words.meanings(t)
+        if not (m & known):
             return 0.0
-        left, slips = list(words), 0
-        for c in core:
-            hit = min((t for t in left if near(t, c)), key=lambda t: edits(t, c), default=None)
-            if hit is None:
-                return 0.7 if len(words) == 1 and _joined(words[0], "".join(core), "".join(trade)) else 0.0
-            left.remove(hit)
-            slips += edits(hit, c)
-        known = set(trade)
-        for t in left:
-            m = self.meanings(t)
-            if not (m & known):
-                return 0.0
-            known -= {next(iter(m & known))}
-        if not left and trade:
-            # the bare firm name is enough only if no other firm bears it
-            return 0.65 - 0.05 * slips if len(self.cores[tuple(sorted(core))]) == 1 else 0.0
-        return 1.0 - 0.05 * slips - 0.05 * len(known)
+        known -= {min(m & known)}
+    if not left and trade:
+        # the bare firm name is enough only if no other firm bears it
+        return 0.65 - 0.05 * slips if alone else 0.0
+    return 1.0 - 0.05 * slips - 0.05 * len(known)
 
 
 def _joined(word: str, core: str, trade: str) -> bool:
@@ -258,135 +244,326 @@ def _joined(word: str, core: str, trade: str) -> bool:
     return False
 
 
-def grams(toks: list[str]) -> dict[str, float]:
-    """Trigram counts of the padded tokens."""
+_TOKENS = F.pandas_udf(lambda s: s.map(tokens_of), T.ArrayType(T.StringType()))  # type: ignore[call-overload]
+
+
+def _bags(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` with ``toks``, and ``bag``: its tokens in order of the alphabet."""
+    return df.select(*keep, _TOKENS("name").alias("toks")).where(F.size("toks") > 0).withColumn("bag", F.array_join(F.array_sort("toks"), " "))
+
+
+def common_words(firms: DataFrame) -> frozenset[str]:
+    """Words in at least three and a hundredth of the firms' names: some hundreds at most, whatever the number of firms."""
+    n = firms.count()
+    each = firms.select(F.explode(F.array_distinct("toks")).alias("t")).groupBy("t").count().where(F.col("count") >= max(3, n // 100))
+    return frozenset(r["t"] for r in each.collect() if r["t"] not in LEGAL)
+
+
+def known_entries(entries: DataFrame) -> tuple[DataFrame, Words]:
+    """(koid, person, toks, head, rest, alone, acros, aliases) of every entry."""
+    spark = entries.sparkSession
+    rows = entries.where("koid IS NOT NULL AND name IS NOT NULL").groupBy("koid").agg(F.min("name").alias("name"), F.first("type_name", True).alias("type_name"), F.flatten(F.collect_set(F.coalesce("aliases", F.array().cast("array<string>")))).alias("aliases"))
+    base = materialize(_bags(rows, "koid", (F.coalesce("type_name", F.lit("")) == "Person").alias("person"), "aliases"), "entries")
+    words = Words(common_words(base.where(~F.col("person"))))
+    shared = spark.sparkContext.broadcast(words)
+
+    def cut(batches):
+        for pdf in batches:
+            got = [parse(list(t), p, shared.value) for t, p in zip(pdf["toks"], pdf["person"])]
+            pdf["head"], pdf["rest"] = [g[0] for g in got], [g[1] for g in got]
+            pdf["acros"] = [[] if p else initials(list(t)) for t, p in zip(pdf["toks"], pdf["person"])]
+            yield pdf[["koid", "person", "toks", "head", "rest", "acros", "aliases"]]
+
+    cut_up = base.mapInPandas(cut, "koid string, person boolean, toks array<string>, head array<string>, rest array<string>, acros array<string>, aliases array<string>")
+    # who shares initial and family name, or all own words
+    same = F.when(F.col("person"), F.concat_ws(" ", F.substring(F.element_at("head", 1), 1, 1), F.element_at("head", 2))).otherwise(F.array_join(F.array_sort("head"), " "))
+    keyed = cut_up.withColumn("same", same).withColumn("alone", F.count("*").over(W.partitionBy("person", "same")) == 1)
+    return materialize(keyed.drop("same"), "entries-known"), words
+
+
+def learn_short_forms(bags: DataFrame, known: DataFrame, *, least: int = 3, share: float = 0.2) -> DataFrame:
+    """(token, given): tokens that stand for a given name, learned from the families they are typed with.
+
+    A token counts with a given name once for each family that only entries of this given name
+    bear. It is a short form if at least ``least`` families show it (an entry's alias counts for two)
+    and they make ``share`` of all families it stands with; two are enough if they make half.
+    """
+    person = known.where("person").select(F.element_at("head", 1).alias("given"), F.element_at("head", 2).alias("family"), "aliases").where(F.length("family") >= 4)
+    alias = _bags(person.select("given", "family", F.explode("aliases").alias("name")), "given", "family").select("given", "family", F.explode("toks").alias("token"), F.lit(2).alias("n"))
+    alias = alias.where(F.levenshtein("token", "family") > F.greatest(F.lit(2), F.length("family") / 3))
+    alone = person.groupBy("family").agg(F.min("given").alias("given"), F.max("given").alias("other")).where("given = other").select("family", "given")
+    typed = bags.where(F.size("toks").between(2, 3)).select(F.explode("toks").alias("family"), "toks").join(alone, "family")
+    typed = typed.select("given", "family", F.explode("toks").alias("token"), F.lit(1).alias("n"))
+    seen = typed.unionByName(alias).where((F.length("token") >= 2) & (F.col("token") != F.col("family"))).groupBy("given", "family", "token").agg(F.max("n").alias("n"))
+    pairs = seen.groupBy("token", "given").agg(F.sum("n").alias("n"))
+    total = pairs.groupBy("token").agg(F.sum("n").alias("total"))
+    got = pairs.join(total, "token").where((F.col("token") != F.col("given")) & (((F.col("n") >= least) & (F.col("n") >= share * F.col("total"))) | ((F.col("n") >= 2) & (F.col("n") * 2 >= F.col("total")))))
+    return got.select("token", "given")
+
+
+# ---- vectors and the sparse join
+
+
+def grams(tok: str) -> dict[str, float]:
+    """Trigram counts of the padded token."""
     out: dict[str, float] = defaultdict(float)
-    for t in toks:
-        p = f"^{t}$"
-        for i in range(len(p) - 2):
-            out[p[i : i + 3]] += 1.0
+    p = f"^{tok}$"
+    for i in range(len(p) - 2):
+        out[p[i : i + 3]] += 1.0
     return out
 
 
-def spread(toks: list[str], entries: Entries) -> list[str]:
-    """Tokens with the meanings of nicknames and abbreviations beside them."""
-    out = list(toks)
-    for t in toks:
-        out += NICKNAMES.get(t, "").split()
-        if t not in entries.common:
-            out += list(entries.meanings(t))[:2] if len(t) >= 3 else []
-    return [t for t in out if t not in LEGAL]
-
-
-class Index:
-    """Inverted trigram index of the entries' forms, with unit weights by inverse frequency."""
-
-    def __init__(self, entries: Entries):
-        self.entries = entries
-        forms = [(i, f) for i, (koid, name, _, aliases) in enumerate(entries.rows) for f in entries.forms(koid, name, aliases)]
-        bags = [grams(f if len(f) == 1 else [t for t in f if t not in LEGAL] or f) for _, f in forms]
-        df: dict[str, int] = defaultdict(int)
-        for b in bags:
-            for g in b:
-                df[g] += 1
-        self.idf = {g: float(np.log((1 + len(bags)) / (1 + n)) + 1) for g, n in df.items()}
-        self.top_idf = float(np.log(1 + len(bags)) + 1)
-        self.owner = np.array([i for i, _ in forms], dtype=np.int64)
-        post: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for k, b in enumerate(bags):
-            w = {g: n * self.idf[g] for g, n in b.items()}
-            norm = sum(v * v for v in w.values()) ** 0.5 or 1.0
-            for g, v in w.items():
-                post[g][0].append(k)
-                post[g][1].append(v / norm)
-        self.post = {g: (np.array(a, dtype=np.int64), np.array(b, dtype=np.float32)) for g, (a, b) in post.items()}
-
-    def vector(self, toks: list[str]) -> dict[str, float]:
-        w = {g: n * self.idf.get(g, self.top_idf) for g, n in grams(toks).items()}
-        norm = sum(v * v for v in w.values()) ** 0.5 or 1.0
-        return {g: v / norm for g, v in w.items()}
-
-    def top(self, toks: list[str], n: int, least: float) -> list[tuple[int, float]]:
-        """The n entries of highest cosine with any of their forms, of at least ``least``."""
-        acc = np.zeros(len(self.owner), dtype=np.float32)
-        for g, v in self.vector(toks).items():
-            p = self.post.get(g)
-            if p is not None:
-                acc[p[0]] += np.float32(v) * p[1]
-        hits = np.flatnonzero(acc >= least)
-        best: dict[int, float] = {}
-        for k in hits[np.argsort(-acc[hits], kind="stable")]:
-            best.setdefault(int(self.owner[k]), float(acc[k]))
-            if len(best) == n:
-                break
-        return list(best.items())
-
-
-    def near(self, toks: list[str], n: int, least: float) -> list[tuple[int, float]]:
-        """Best of the name as typed and of the name with what its short forms stand for."""
-        best = dict(self.top(toks, n, least))
-        wide = spread(toks, self.entries)
-        if wide and wide != toks:
-            for i, c in self.top(wide, n, least):
-                best[i] = max(c, best.get(i, 0.0))
-        return sorted(best.items(), key=lambda x: (-x[1], x[0]))
-
-
-def link_names(names: DataFrame, entries: DataFrame, *, top_n: int = 12, least_cosine: float = 0.2, least_fit: float = 0.5, least_average: float = 0.15) -> DataFrame:
+def gram_vectors(tokens: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, dim, w) of both tables of ``token``: unit trigram vectors, weighted by inverse frequency over ``known``.
+
+    A trigram that no known token has weighs as the mean of the others; it counts in the length
+    only. Ids are hashes: should two tokens share one, the exact check parts them.
+    """
+    spark = tokens.sparkSession
+    parts = shuffle_parts(spark)
+    tri = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.concat(F.lit("^"), F.col("token"), F.lit("$")), i, 3))
+    counts = {r["g"]: r["count"] for r in known.select(F.explode(F.array_distinct(tri)).alias("g")).groupBy("g").count().collect()}
+    n = known.count()
+    idf = {g: float(np.log((1 + n) / (1 + c)) + 1) for g, c in counts.items()}
+    mean = sum(idf[g] * counts[g] for g in idf) / max(1, sum(counts.values()))
+    weights = spark.sparkContext.broadcast((idf, mean or 1.0))
+
+    def run(batches):
+        idf, other = weights.value
+        place = {g: i for i, g in enumerate(sorted(idf))}
+        for pdf in batches:
+            ks, gs, ws = [], [], []
+            for k, tok in zip(pdf["id"], pdf["token"]):
+                v = {g: c * idf.get(g, other) for g, c in grams(tok).items()}
+                norm = sum(x * x for x in v.values()) ** 0.5
+                for g, x in v.items():
+                    if g in place:
+                        ks.append(k)
+                        gs.append(place[g])
+                        ws.append(x / norm)
+            yield pd.DataFrame({"id": pd.Series(ks, dtype="int64"), "dim": pd.Series(gs, dtype="int64"), "w": pd.Series(ws, dtype="float64")})
+
+    # few bytes but much work a row: spread over all tasks, whatever their size
+    out = lambda d: d.select(F.xxhash64("token").alias("id"), "token").repartition(parts).mapInPandas(run, "id long, dim long, w double")
+    return out(tokens), out(known)
+
+
+def heaviest(vectors: DataFrame, share: float) -> DataFrame:
+    """Vectors (id, dim, w) cut to their heaviest dimensions that make up ``share`` of the squared length.
+
+    These are the posting lists of the join: what meets only the rest has a cosine below
+    ``sqrt(1 - share)``. Dimensions of equal weight at the cut all stay.
+    """
+    order = W.partitionBy("id").orderBy(F.desc("w"))
+    before = F.sum(F.col("w") * F.col("w")).over(order) - F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id", "w"))
+    whole = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id"))
+    return vectors.withColumn("before", before / whole).where(F.col("before") < share).drop("before")
+
+
+def sparse_join(left: DataFrame, right: DataFrame, *, least: float, top_n: int | None, name: str = "pairs") -> DataFrame:
+    """(a, b, cosine) of every ``a`` with its ``top_n`` most similar ``b`` of cosine ``least`` or more.
+
+    Both tables are sparse unit vectors (id, dim, w). Rows meet by shared dimensions, products are
+    summed. Dimensions of many products are spread over several tasks: the left side by a hash of
+    its ids, the right side repeated. Rows tied at the cut all stay.
+    """
+    size = left.groupBy("dim").agg(F.count("*").alias("nl")).join(right.groupBy("dim").agg(F.count("*").alias("nr")), "dim")
+    hot = size.where(F.col("nl") * F.col("nr") > HOT_PRODUCTS).select("dim", F.ceil(F.col("nl") * F.col("nr") / HOT_PRODUCTS).cast("int").alias("parts"))
+    hot = materialize(hot, f"{name}-hot")
+    parts = F.coalesce("parts", F.lit(1))
+    tasks = shuffle_parts(left.sparkSession)  # few bytes, many products: not to be coalesced by size
+    ours = left.join(hot, "dim", "left").select(F.col("id").alias("a"), "dim", F.col("w").alias("wa"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    theirs = right.join(hot, "dim", "left").select(F.col("id").alias("b"), "dim", F.col("w").alias("wb"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    summed = ours.repartition(tasks, "dim", "part").join(theirs.repartition(tasks, "dim", "part"), ["dim", "part"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+    if top_n is None:
+        return summed
+    best = W.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)))
+    return summed.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= top_n).drop("rank")
+
+
+def name_vectors(bags: DataFrame, matches: DataFrame, idf: DataFrame, id_: str) -> DataFrame:
+    """(id, dim, w): names as unit vectors over known tokens (dim is a hash), each token by what it matches (token, dim, cosine).
+
+    A token counts in the length by its best match alone; one without a match by the mean weight.
+    Legal forms are left out.
+    """
+    each = bags.select(F.xxhash64(id_).alias("id"), F.explode("toks").alias("token")).where(~F.col("token").isin(*LEGAL))
+    hits = matches.join(idf, "dim").select("token", "dim", "cosine", "idf")
+    own = hits.groupBy("token").agg(F.max_by("idf", F.struct("cosine", "idf")).alias("own"))
+    # an initial says little, whatever it might stand for
+    weight = F.when(F.length("token") == 1, 1.0).otherwise(F.coalesce("own", "mean", F.lit(1.0)))
+    mean = idf.agg(F.avg("idf").alias("mean"))
+    length = each.join(own, "token", "left").join(F.broadcast(mean)).groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+    part = each.join(hits, "token").groupBy("id", "dim").agg(F.sum(F.col("cosine") * F.col("idf")).alias("w"))
+    return part.join(length, "id").select("id", "dim", (F.col("w") / F.col("length")).alias("w"))
+
+
+def _token_matches(tokens: DataFrame, known_tokens: DataFrame, words: Words, shorts: DataFrame | None, least: float, top_n: int) -> DataFrame:
+    """(token, dim, cosine): each typed token and the known tokens it may stand for."""
+    spark = tokens.sparkSession
+    ours, theirs = gram_vectors(tokens, known_tokens)
+    met = sparse_join(ours, heaviest(theirs, 0.98), least=least, top_n=top_n, name="tokens")
+    met = met.join(tokens.select(F.xxhash64("token").alias("a"), "token"), "a").join(known_tokens.select(F.xxhash64("token").alias("b"), F.col("token").alias("dim")), "b")
+    near_by = met.select("token", "dim", F.least("cosine", F.lit(1.0)).alias("cosine"))
+    shared = spark.sparkContext.broadcast(words)
+
+    def meant(batches):
+        for pdf in batches:
+            rows = [(t, m, 0.9) for t in pdf["token"] if len(t) >= 3 and t not in shared.value.common for m in sorted(shared.value.meanings(t))]
+            yield pd.DataFrame(rows, columns=["token", "dim", "cosine"])
+
+    out = near_by.unionByName(tokens.select("token").mapInPandas(meant, "token string, dim string, cosine double"))
+    if shorts is not None:
+        out = out.unionByName(shorts.select("token", F.col("given").alias("dim"), F.lit(0.95).alias("cosine")))
+    return materialize(out.groupBy("token", F.xxhash64("dim").alias("dim")).agg(F.max("cosine").alias("cosine")), "token-matches")
+
+
+def _candidates(bags: DataFrame, known: DataFrame, words: Words, shorts: DataFrame | None, *, top_n: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pairs (bid, kid, cosine) of names and entries by the hashes of bag and koid, the vectors of both, and the tokens' weights."""
+    own = known.select("koid", F.array_distinct("toks").alias("toks"))
+    known_tokens = materialize(own.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "known-tokens")
+    n = known.count()
+    idf = known_tokens.select(F.xxhash64("token").alias("dim"), (F.log(F.lit(1.0 + n) / (1.0 + F.col("n"))) + 1.0).alias("idf"))
+    tokens = materialize(bags.select(F.explode("toks").alias("token")).distinct(), "tokens")
+    matches = _token_matches(tokens, known_tokens, words, shorts, 0.2, 40)
+    ours = materialize(name_vectors(bags, matches, idf, "bag"), "name-vectors")
+    exact = known_tokens.select("token", F.xxhash64("token").alias("dim"), F.lit(1.0).alias("cosine"))
+    theirs = materialize(name_vectors(own, exact, idf, "koid"), "entry-vectors")
+    # an entry is found by the tokens that make up most of it: by a given name or a trade alone it is not
+    pairs = sparse_join(ours, heaviest(theirs, 0.75), least=least, top_n=top_n, name="names").select(F.col("a").alias("bid"), F.col("b").alias("kid"), F.least("cosine", F.lit(1.0)).alias("cosine"))
+    return pairs, ours, theirs, idf
+
+
+def _fits(pairs: DataFrame, bags: DataFrame, known: DataFrame, words: Words, shorts: DataFrame, least_fit: float) -> DataFrame:
+    """Pairs that pass the exact check token by token, with ``fit``."""
+    spark = pairs.sparkSession
+    shared = spark.sparkContext.broadcast(words)
+    meant = bags.select("bag", F.explode("toks").alias("token")).join(shorts, "token").groupBy("bag").agg(F.collect_set(F.concat_ws(" ", "token", "given")).alias("shorts"))
+    full = pairs.join(bags.select(F.xxhash64("bag").alias("bid"), "bag", "toks", "acro_of", "acro"), "bid").join(meant, "bag", "left").join(known.select(F.xxhash64("koid").alias("kid"), "koid", "person", "head", "rest", "alone"), "kid").repartition(shuffle_parts(spark))
+
+    def check(batches):
+        ws = shared.value
+        for pdf in batches:
+            fit = []
+            for toks, acro, of, sh, koid, person, head, rest, alone in zip(pdf["toks"], pdf["acro"], pdf["acro_of"], pdf["shorts"], pdf["koid"], pdf["person"], pdf["head"], pdf["rest"], pdf["alone"]):
+                toks, head, rest = list(toks), list(head), list(rest)
+                if person:
+                    known_short = frozenset(tuple(x.split(" ", 1)) for x in sh) if sh is not None else frozenset()
+                    fit.append(fit_person(toks, head, frozenset(rest), known_short, alone))
+                elif acro:
+                    fit.append(0.7 if of == koid else 0.0)
+                else:
+                    fit.append(fit_firm(toks, head, rest, alone, ws))
+            pdf["fit"] = pd.Series(fit, dtype="float64")
+            yield pdf.loc[pdf["fit"] >= least_fit, ["bag", "koid", "cosine", "fit"]]
+
+    return full.mapInPandas(check, "bag string, koid string, cosine double, fit double")
+
+
+def _named(names: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, bag) of every name; (bag, toks, acro, acro_of): a row for each distinct bag; a firm's acronym carries its words and, if it is nobody else's, its owner."""
+    distinct = names.select("name").where(F.col("name").rlike(r"\S")).distinct().repartition(shuffle_parts(names.sparkSession))
+    each = materialize(_bags(distinct, "name"), "names")
+    bags = each.groupBy("bag").agg(F.min("toks").alias("toks"))
+    acros = known.where(~F.col("person")).select(F.explode("acros").alias("bag"), "koid", "toks").groupBy("bag").agg(F.min("koid").alias("acro_of"), F.max("koid").alias("other"), F.min("toks").alias("meant"))
+    acros = acros.where((F.length("bag") > 1) & (F.length("bag") <= 6)).select("bag", F.when(F.col("acro_of") == F.col("other"), F.col("acro_of")).alias("acro_of"), F.when(F.col("acro_of") == F.col("other"), F.col("meant")).alias("meant"), F.lit(True).alias("acro"))
+    out = bags.join(acros, "bag", "left").select("bag", F.coalesce("meant", "toks").alias("toks"), F.coalesce("acro", F.lit(False)).alias("acro"), "acro_of")
+    return each.select("name", "bag"), materialize(out, "bags")
+
+
+def link_names(names: DataFrame, entries: DataFrame, *, top_n: int = 20, least_cosine: float = 0.25, least_fit: float = 0.5, least_average: float = 0.3) -> DataFrame:
     """(name, koid) of every distinct name that means an entry.
 
     ``names`` has a column ``name``; ``entries`` has koid, name, type_name and aliases, a row for
-    each known person or organisation (checked: at most ``MAX_INDEX_FORMS`` rows).
+    each known person or organisation, of any number.
 
     Defined cases: null and blank names mean nothing; repeated names are linked once; a name that
-    fits several entries equally well on every test means none of them; names of one word only mean
-    firms by their acronym or whole name; further columns are ignored.
+    stands at the same highest average with several entries means none of them; names of one word
+    only mean firms by their acronym or whole name; repeated koids of ``entries`` count once;
+    further columns are ignored.
     """
-    spark = names.sparkSession
-    ship_code(spark)
-    rows = [(r["koid"], r["name"], r["type_name"], list(r["aliases"] or [])) for r in entries.select("koid", "name", "type_name", "aliases").where("koid IS NOT NULL AND name IS NOT NULL").distinct().limit(MAX_INDEX_FORMS + 1).collect()]
-    if len(rows) > MAX_INDEX_FORMS:
-        raise ValueError("more entries than the broadcast index may hold; split the entries and link block by block")
-    index = spark.sparkContext.broadcast(Index(Entries(sorted(rows, key=lambda r: r[0]))))
-
-    def candidates(batches):
-        ix = index.value
-        for pdf in batches:
-            out = []
-            for name in pdf["name"]:
-                toks = tokens_of(name)
-                if not toks:
-                    continue
-                for i, cos in ix.near(toks, top_n, least_cosine):
-                    koid = ix.entries.rows[i][0]
-                    fit = ix.entries.check(toks, koid)
-                    if fit >= least_fit:
-                        out.append((name, koid, cos, fit))
-            yield pd.DataFrame(out, columns=["name", "koid", "cosine", "fit"])
-
-    # few bytes but much work a name: spread over all tasks, whatever their size
-    distinct = names.select("name").where(F.col("name").rlike(r"\S")).distinct().repartition(shuffle_parts(spark))
-    pairs = materialize(distinct.mapInPandas(candidates, "name string, koid string, cosine double, fit double"), "name-pairs")
-
-    # average linkage: cluster means over the entry's forms and the names that fit it alone and well
-    def weights(batches):
-        ix = index.value
+    linked, each, *_ = _link(names, entries, top_n, least_cosine, least_fit, least_average)
+    return each.join(linked, "bag").select("name", "koid")
+
+
+def _link(names: DataFrame, entries: DataFrame, top_n: int, least_cosine: float, least_fit: float, least_average: float) -> tuple[DataFrame, DataFrame, DataFrame, Words, DataFrame]:
+    ship_code(names.sparkSession)
+    known, words = known_entries(entries)
+    each, bags = _named(names, known)
+    shorts = materialize(learn_short_forms(bags, known), "short-forms")
+    pairs, ours, theirs, _ = _candidates(bags, known, words, shorts, top_n=top_n, least=least_cosine)
+    pairs = materialize(_fits(pairs, bags, known, words, shorts, least_fit), "name-pairs")
+    mine = ours.withColumnRenamed("id", "bid")
+    # a cluster: its entry and the names that can mean that entry alone
+    lone = pairs.groupBy("bag").agg(F.min("koid").alias("koid"), F.count("*").alias("n")).where("n = 1").select("bag", "koid", F.xxhash64("bag").alias("bid"), F.xxhash64("koid").alias("kid"))
+    total = theirs.select(F.col("id").alias("kid"), "dim", "w").unionByName(lone.join(mine, "bid").select("kid", "dim", "w")).groupBy("kid", "dim").agg(F.sum("w").alias("m"))
+    sizes = known.select("koid", F.lit(1).alias("one")).unionByName(lone.select("koid", F.lit(1).alias("one"))).groupBy("koid").agg(F.sum("one").alias("members"))
+    self_dot = lone.join(mine, "bid").groupBy("bag", "koid").agg(F.sum(F.col("w") * F.col("w")).alias("self"))
+    dots = pairs.withColumn("bid", F.xxhash64("bag")).withColumn("kid", F.xxhash64("koid")).join(mine, "bid").join(total, ["kid", "dim"]).groupBy("bag", "koid").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
+    linked = pairs.join(dots, ["bag", "koid"]).join(sizes, "koid").join(self_dot, ["bag", "koid"], "left")
+    # a member's likeness with itself is no evidence
+    average = (F.col("dot") - F.coalesce("self", F.lit(0.0))) / (F.col("members") - F.when(F.col("self").isNotNull(), 1).otherwise(0))
+    best = W.partitionBy("bag").orderBy(F.desc("score"))
+    scored = linked.withColumn("average", average).where(F.col("average") >= least_average).withColumn("score", F.round(F.col("average") * F.col("fit"), 6))
+    ranked = scored.withColumn("rank", F.rank().over(best)).where("rank = 1").groupBy("bag").agg(F.min("koid").alias("koid"), F.count("*").alias("n")).where("n = 1")
+    chosen = materialize(ranked.select("bag", "koid"), "name-links")
+    return chosen, each, bags, words, shorts
+
+
+# ---- names without an entry
+
+
+def average_linkage(nodes: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """(node, cluster): average-linkage clusters of ``nodes``; a pair without an edge counts 0.
+
+    ``edges`` (a, b, s) with a < b, once each. In every round each cluster finds its nearest by mean
+    similarity, and pairs that are each other's nearest merge if the mean is ``least`` or more; the
+    result is that of merging one pair at a time. Ends when no pair merges. A cluster is named by
+    its smallest node.
+    """
+    at = materialize(nodes.select("node", F.col("node").alias("cluster"), F.lit(1).cast("long").alias("size")), "link-nodes")
+    links = materialize(edges.select("a", "b", F.col("s").alias("total")), "link-edges")
+    while True:
+        size = at.groupBy("cluster").agg(F.count("*").alias("size"))
+        mean = links.join(size.select(F.col("cluster").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("size").alias("nb")), "b")
+        mean = mean.select("a", "b", F.round(F.col("total") / (F.col("na") * F.col("nb")), 9).alias("s")).where(F.col("s") >= least)
+        both = mean.select("a", "b", "s").unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+        # ties by the pair's smaller, then larger node, so that the two sides agree
+        first = both.groupBy("a").agg(F.min_by("b", F.struct(-F.col("s"), F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
+        back = first.select(F.col("a").alias("b"), F.col("b").alias("a"))
+        merge = materialize(first.join(back, ["a", "b"]).where("a < b").select(F.col("b").alias("old"), F.col("a").alias("new")), "link-merges")
+        if merge.isEmpty():
+            return at.select("node", "cluster")
+        moved = lambda d, c: d.join(merge.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        at = materialize(moved(at, "cluster").select("node", "cluster", "size"), "link-nodes")
+        again = moved(moved(links, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total")
+        links = materialize(again.groupBy("a", "b").agg(F.sum("total").alias("total")), "link-edges")
+
+
+def group_names(names: DataFrame, entries: DataFrame, *, top_n: int = 20, least_cosine: float = 0.25, least_fit: float = 0.5, least_average: float = 0.3) -> DataFrame:
+    """(name, group) of every distinct name that is not blank: the koid of the entry it means, or else the bag of its group.
+
+    Names without an entry are typed variants of each other if the exact check lets one in as the
+    other; average linkage over the cosines of such pairs makes the groups. A name alone is a group.
+    """
+    linked, each, bags, words, shorts = _link(names, entries, top_n, least_cosine, least_fit, least_average)
+    rest = materialize(bags.join(linked, "bag", "left_anti"), "unlinked")
+    shared = names.sparkSession.sparkContext.broadcast(words)
+
+    def cut(batches):
         for pdf in batches:
-            out = []
-            for name, koid in zip(pdf["name"], pdf["koid"]):
-                out += [(name, koid, g, v) for g, v in ix.vector(spread(tokens_of(name), ix.entries)).items()]
-            yield pd.DataFrame(out, columns=["name", "koid", "gram", "w"])
-
-    several = pairs.withColumn("n", F.count("*").over(W.partitionBy("name")))
-    torn = several.where("n > 1").select("name", "koid")
-    wanted = torn.select("koid").distinct()
-    members = several.where((F.col("n") == 1) & (F.col("fit") >= 0.85)).select("name", "koid").join(wanted, "koid", "left_semi")
-    members = members.unionByName(entries.select("name", "koid").join(wanted, "koid", "left_semi")).distinct()
-    sizes = members.groupBy("koid").count()
-    mean = members.select("name", "koid").mapInPandas(weights, "name string, koid string, gram string, w double").groupBy("koid", "gram").agg(F.sum("w").alias("m"))
-    ours = torn.mapInPandas(weights, "name string, koid string, gram string, w double")
-    linkage = ours.join(mean, ["koid", "gram"]).groupBy("name", "koid").agg(F.sum(F.col("w") * F.col("m")).alias("dot")).join(sizes, "koid").select("name", "koid", (F.col("dot") / F.col("count")).alias("average"))
-    scored = pairs.join(linkage, ["name", "koid"], "left").withColumn("average", F.coalesce("average", "cosine")).where(F.col("average") >= least_average)
-    best = W.partitionBy("name").orderBy(F.desc("fit"), F.desc(F.round("average", 6)))
-    ranked = scored.withColumn("rank", F.rank().over(best)).where("rank = 1").groupBy("name").agg(F.min("koid").alias("koid"), F.count("*").alias("n"))
-    return ranked.where("n = 1").select("name", "koid")
+            toks = [list(t) for t in pdf["toks"]]
+            # a legal form, a trade or a number makes a firm; what else has two words or more is a person
+            pdf["person"] = [2 <= len([x for x in t if len(x) > 1]) + ([len(x) for x in t].count(1) > 0) and not any(x in LEGAL or x in shared.value.common or x.isdigit() for x in t) for t in toks]
+            got = [parse(t, p, shared.value) for t, p in zip(toks, pdf["person"])]
+            pdf["head"], pdf["rest"] = [g[0] for g in got], [g[1] for g in got]
+            yield pdf[["koid", "toks", "person", "head", "rest"]]
+
+    as_known = rest.select(F.col("bag").alias("koid"), "toks").mapInPandas(cut, "koid string, toks array<string>, person boolean, head array<string>, rest array<string>")
+    as_known = materialize(as_known.withColumn("alone", F.lit(False)), "unlinked-parsed")
+    pairs, *_ = _candidates(rest, as_known, words, shorts, top_n=top_n, least=least_cosine)
+    pairs = _fits(pairs.where("bid <> kid"), rest, as_known, words, shorts, least_fit)
+    edges = pairs.groupBy(F.least("bag", "koid").alias("a"), F.greatest("bag", "koid").alias("b")).agg(F.max("cosine").alias("s"))
+    groups = average_linkage(rest.select(F.col("bag").alias("node")), edges, max(least_average, 0.5))
+    label = groups.select(F.col("node").alias("bag"), F.col("cluster").alias("group"))
+    return each.join(linked.select("bag", F.col("koid").alias("group")).unionByName(label), "bag").select("name", "group")

@@ -20,7 +20,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from koengine.llm.names import NICKNAMES
 from koengine.runtime import materialize, ship_code
 
 MAX_GIVEN_NAMES = 50_000
@@ -101,13 +100,13 @@ def _kind(w: str) -> str:
 
 
 @lru_cache(maxsize=200_000)
-def _given(w: str, given: frozenset[str]) -> tuple[bool, bool]:
+def _given(w: str, given: frozenset[str], short: frozenset[str]) -> tuple[bool, bool]:
     """Whether all parts of a word are known given names; whether they are known or short forms."""
     parts = w.lower().split("-")
-    return all(p in given for p in parts), all(p in given or p in NICKNAMES for p in parts)
+    return all(p in given for p in parts), all(p in given or p in short for p in parts)
 
 
-def _names(toks: list[tuple[str, int, int]], given: frozenset[str]) -> list[tuple[int, int, bool, str]]:
+def _names(toks: list[tuple[str, int, int]], given: frozenset[str], shorts: frozenset[str]) -> list[tuple[int, int, bool, str]]:
     """(first token, last token, seed, shape) of person-like groups of tokens.
 
     Given + family, given + initial + family, initial + family, family + comma + given (or
@@ -120,10 +119,10 @@ def _names(toks: list[tuple[str, int, int]], given: frozenset[str]) -> list[tupl
     words = ("C", "U", "l")
 
     def known(i: int) -> bool:
-        return _given(toks[i][0], given)[0]
+        return _given(toks[i][0], given, shorts)[0]
 
     def short(i: int) -> bool:
-        return _given(toks[i][0], given)[1]
+        return _given(toks[i][0], given, shorts)[1]
 
     for i in range(n):
         a = kinds[i]
@@ -157,7 +156,7 @@ def _names(toks: list[tuple[str, int, int]], given: frozenset[str]) -> list[tupl
     return out
 
 
-def read_text(text: str, given: frozenset[str]) -> list[tuple]:
+def read_text(text: str, given: frozenset[str], shorts: frozenset[str] = frozenset()) -> list[tuple]:
     """All candidates of a text: (start, end, class, shape, seeds, l2, l1r1, r2)."""
     blocks = _blocks(text)
     # tokens, with blocks as single tokens
@@ -209,7 +208,7 @@ def read_text(text: str, given: frozenset[str]) -> list[tuple]:
             if any(b in cues for b in before) and (kind == "ADDRESS") == (c == "ADDRESS"):
                 seeds.append(kind)
         out.append((s, e, c, shape, ",".join(seeds[-1:]), *ctx))
-    for i, j, seed, shape in _names(toks, given):
+    for i, j, seed, shape in _names(toks, given, shorts):
         s, e = toks[i][1], toks[j][2]
         if "\n" in text[s:e]:
             continue
@@ -237,14 +236,20 @@ def find_personal(df: DataFrame, people: DataFrame, *, key: str, text: str, roun
     ship_code(spark)
     names = people.where("name IS NOT NULL").select(F.lower(F.regexp_extract("name", r"^(\p{L}{3,})[ ]", 1)).alias("g")).where("g <> ''").groupBy("g").count()
     given = frozenset(r["g"] for r in names.orderBy(F.desc("count"), "g").limit(MAX_GIVEN_NAMES).collect())
-    lexicon = spark.sparkContext.broadcast(given)
+    shorts = frozenset()
+    if "aliases" in people.columns:  # words of an alias that are not the family name
+        family = F.lower(F.regexp_extract("name", r"(\p{L}+)\s*$", 1))
+        words = people.select(family.alias("f"), F.explode("aliases").alias("a")).select("f", F.explode(F.split(F.lower("a"), r"[^\p{L}]+")).alias("w"))
+        words = words.where((F.length("w") >= 3) & (F.levenshtein("w", "f") > 3)).groupBy("w").count()
+        shorts = frozenset(r["w"] for r in words.orderBy(F.desc("count"), "w").limit(MAX_GIVEN_NAMES).collect())
+    lexicon = spark.sparkContext.broadcast((given, shorts))
     one = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S") & F.col("key").isNotNull())
     one = one.groupBy("key").agg(F.max("text").alias("text"))
 
     def read(batches):
         known = lexicon.value
         for pdf in batches:
-            rows = [(k, *c) for k, t in zip(pdf["key"], pdf["text"]) for c in read_text(t, known)]
+            rows = [(k, *c) for k, t in zip(pdf["key"], pdf["text"]) for c in read_text(t, *known)]
             yield pd.DataFrame(rows, columns=["key", "start_at", "end_at", "class", "shape", "seed", "l2", "m2", "r2"])
 
     cands = materialize(one.mapInPandas(read, _SCHEMA), "pii-candidates")

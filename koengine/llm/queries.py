@@ -29,6 +29,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join(links, "name").join(exact, ["koid", "name"], "left_anti").select("record_kind", "record_id", "koid")
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct name with its group: the entry it means, or else its variants' group."""
+    from koengine.llm.names import group_names
+
+    names = table(spark, sf_dir, "entity_candidate").select("name").unionByName(table(spark, sf_dir, "entity_conflict").select(F.col("entity_name").alias("name")))
+    return group_names(names, table(spark, sf_dir, "kb_entry"))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered, overlapping pieces of every oversized block."""
     from koengine.llm.split import split_oversized
@@ -123,6 +131,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,

@@ -34,21 +34,62 @@ def test_links(spark):
     assert names.link_names(df, kb.limit(0)).count() == 0
 
 
-def test_sparse_top_n_is_exact():
-    e = names.Entries(sorted(KB))
-    ix = names.Index(e)
-    toks = names.tokens_of("Gabi Staustar")
-    v = ix.vector(toks)
-    brute = {}
-    for i, (koid, name, _, aliases) in enumerate(e.rows):
-        for f in e.forms(koid, name, aliases):
-            bag = names.grams(f if len(f) == 1 else [t for t in f if t not in names.LEGAL] or f)
-            w = {g: n * ix.idf[g] for g, n in bag.items()}
-            norm = sum(x * x for x in w.values()) ** 0.5
-            brute[i] = max(brute.get(i, 0), sum(v.get(g, 0) * x for g, x in w.items()) / norm)
-    top = ix.top(toks, 3, 0.05)
-    assert [i for i, _ in top] == sorted(brute, key=lambda i: -brute[i])[: len(top)]
-    assert all(abs(c - brute[i]) < 1e-5 for i, c in top)
+def test_short_forms_outside_every_list(spark):
+    """Short forms are known by their sound, or learned from families and aliases."""
+    fam = ["Haklister", "Staustar", "Brutaun", "Tipidal", "Lebimere", "Wauwaun"]
+    kb = [(f"k{i}", f"{g} {f}", "Person", []) for i, (g, f) in enumerate(zip(["Anthony", "Rebecca", "Michael", "Samuel", "Jennifer", "Margaret"], fam))]
+    kb += [(f"m{i}", f"Wolfgang {f}", "Person", ["Butz Zonwemere"] if f == "Zonwemere" else []) for i, f in enumerate(["Zonwemere", "Greisein", "Soxkedal", "Klasshovik", "Toworic"])]
+    want = {"Tony Haklister": "k0", "Becky Staustar": "k1", "Mike Brutaun": "k2", "Sam Tipidal": "k3", "Jenny Lebimere": "k4", "Butz Greisein": "m1", "Butz Soxkedal": "m2", "Klaßhovik, Butz": "m3", "Butz Tovoric": "m4"}
+    rows = spark.createDataFrame([(n,) for n in [*want, "Carl Haklister", "Bruno Wauwaun", "Butz Haklister"]], "name string")
+    links = names.link_names(rows, spark.createDataFrame(kb, "koid string, name string, type_name string, aliases array<string>"))
+    assert {r["name"]: r["koid"] for r in links.collect()} == want
+
+
+def test_sparse_join_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    unit = lambda v: {d: x / sum(y * y for y in v.values()) ** 0.5 for d, x in v.items()}
+    make = lambda: {i: unit({rng.randrange(12): rng.random() + 0.1 for _ in range(4)}) for i in range(60)}
+    a, b = make(), make()
+    df = lambda m: spark.createDataFrame([(i, d, w) for i, v in m.items() for d, w in v.items()], "id long, dim long, w double")
+    monkeypatch.setattr(names, "HOT_PRODUCTS", 50)  # most dimensions are hot here
+    got = {(r["a"], r["b"]): r["cosine"] for r in names.sparse_join(df(a), df(b), least=0.5, top_n=3).collect()}
+    want = {}
+    for i, u in a.items():
+        near = sorted(((sum(x * v.get(d, 0) for d, x in u.items()), j) for j, v in b.items()), reverse=True)
+        for c, j in near:
+            if c >= 0.5 and round(c, 9) >= round(near[2][0], 9):
+                want[i, j] = c
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_average_linkage_against_one_merge_at_a_time(spark):
+    rng = random.Random(5)
+    nodes = list(range(40))
+    sim = {(a, b): round(rng.random(), 6) for a in nodes for b in nodes if a < b and rng.random() < 0.3}
+    got = {}
+    edges = spark.createDataFrame([(a, b, s) for (a, b), s in sim.items()], "a long, b long, s double")
+    for r in names.average_linkage(spark.createDataFrame([(n,) for n in nodes], "node long"), edges, 0.4).collect():
+        got.setdefault(r["cluster"], set()).add(r["node"])
+    sets = [{n} for n in nodes]
+    mean = lambda x, y: round(sum(sim.get((min(a, b), max(a, b)), 0) for a in x for b in y) / len(x) / len(y), 9)
+    while True:
+        best = max(((mean(x, y), i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j), key=lambda t: t[0])
+        if best[0] < 0.4:
+            break
+        sets[best[1]] |= sets[best[2]]
+        del sets[best[2]]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, sets))
+
+
+def test_groups_of_names_without_an_entry(spark):
+    kb = spark.createDataFrame(KB, "koid string, name string, type_name string, aliases array<string>")
+    ann, firm = ["Annabel Quorndale", "annabel quorndael", "Quorndale, Annabel", "A. Quorndale"], ["Zibbermann Shipping Ltd", "Zibberman Shipping", "ZIBBERMANN SHIPPING LIMITED"]
+    rows = [*ann, *firm, "Peter Quorndale", "Rob Haklister", "Robert Haklister", "", None]
+    got = {r["name"]: r["group"] for r in names.group_names(spark.createDataFrame([(n,) for n in rows], "name string"), kb).collect()}
+    assert set(got) == {n for n in rows if n}
+    assert got["Rob Haklister"] == got["Robert Haklister"] == "p1"
+    assert len({got[n] for n in ann[:3]}) == 1 and len({got[n] for n in firm}) == 1
+    assert got["Peter Quorndale"] not in {got[n] for n in ann[:3]}
 
 
 def test_edits():
