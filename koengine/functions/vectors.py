@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from koengine.runtime import materialize
+
 #: Query vectors up to this many are broadcast; more are searched in blocks of this size.
 BLOCK_QUERIES = 4096
 
@@ -25,7 +27,7 @@ def cosine(a: Column, b: Column) -> Column:
 def search_block(queries: DataFrame, rows: DataFrame, k: int | None, min_cosine: float | None, digits: int = 6) -> DataFrame:
     """(query_id, id, cosine) of a stated set of queries against all rows, in blocks, exactly.
 
-    ``queries`` and ``rows`` have (id, vec). The queries are taken to the driver block by block
+    ``queries`` and ``rows`` have (id, vec). The queries are written once, then taken to the driver block by block
     (``BLOCK_QUERIES`` each) and broadcast; every partition keeps its best ``k`` for each query, so
     only ``k`` rows a query and partition are shuffled. A row is not its own neighbour. Rows whose
     vector is null, empty or of another length have cosine 0.
@@ -33,6 +35,8 @@ def search_block(queries: DataFrame, rows: DataFrame, k: int | None, min_cosine:
     spark = rows.sparkSession
     total = queries.count()
     out = None
+    if total > BLOCK_QUERIES:
+        queries = materialize(queries.select("id", "vec"), "queries")
     numbered = queries if total <= BLOCK_QUERIES else queries.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(-(-total // (BLOCK_QUERIES // 2)))))
     blocks = [queries] if total <= BLOCK_QUERIES else [numbered.where(F.col("_block") == b).drop("_block") for b in range(-(-total // (BLOCK_QUERIES // 2)))]
     for block in blocks:

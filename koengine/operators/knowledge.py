@@ -11,15 +11,19 @@ def resolve(names: DataFrame, kb: DataFrame, least: float = 0.5, gap: float = 0.
     """(name, koid, score, status): matched, ambiguous (the runner-up is within ``gap``) or unmatched.
 
     ``names`` has (name), ``kb`` (koid, name). Every pair that can score at all shares a token or has
-    one name inside the other, so candidates come from an equi-join on tokens and on trigrams (the
-    first trigram of one among all trigrams of the other): no pair is lost and none is compared in vain.
+    one name inside the other, so candidates come from an equi-join on tokens and on substrings (the
+    first three letters of one, or all of a shorter one, among the substrings of that length of the
+    other): no pair is lost and none is compared in vain.
     """
     n = names.select("name").where("name IS NOT NULL").distinct()
     k = kb.select("koid", F.col("name").alias("kb_name")).where("kb_name IS NOT NULL")
 
     def grams(c: Column) -> Column:
         low = F.lower(c)
-        return F.when(F.length(low) < 3, F.array(low)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3))))
+        # one and two letters meet short names only, which are as long as that
+        cut = lambda m: F.transform(F.sequence(F.lit(1), F.length(low) - (m - 1)), lambda i: F.substring(low, i, m))
+        each = [F.when(F.length(low) >= m, cut(m)).otherwise(F.array().cast("array<string>")) for m in (1, 2, 3)]
+        return F.array_distinct(F.concat(*each))
 
     first = lambda c: F.substring(F.lower(c), 1, 3)
     by_token = n.select("name", F.explode(tokens(F.col("name"))).alias("t")).join(k.select("koid", "kb_name", F.explode(tokens(F.col("kb_name"))).alias("t")), "t").select("name", "koid", "kb_name")

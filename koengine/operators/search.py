@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from koengine.functions.text import jaccard, token_list, tokens
 from koengine.functions.vectors import cosine
+from koengine.runtime import spread
 
 DIGITS = 6
 
@@ -25,7 +26,7 @@ def _words(query: str) -> list[str]:
 def text_search(df: DataFrame, text: Column, query: str, k: int, include_zero: bool = True) -> DataFrame:
     """Jaccard of token sets; with ``include_zero`` the k best of everything, else only rows that share a token."""
     q = F.array(*[F.lit(w) for w in _words(query)]).cast("array<string>")
-    scored = df.withColumn("score", F.round(jaccard(tokens(F.coalesce(text, F.lit(""))), q), DIGITS))
+    scored = spread(df).withColumn("score", F.round(jaccard(tokens(F.coalesce(text, F.lit(""))), q), DIGITS))
     return top(scored if include_zero else scored.where("score > 0"), k)
 
 
@@ -36,7 +37,7 @@ def bm25_search(df: DataFrame, text: Column, query: str, k: int, k1: float = 1.2
     a second scores. Nothing but those few numbers leaves the executors.
     """
     words = _words(query)
-    d = df.withColumn("_t", tokens(F.coalesce(text, F.lit(""))))
+    d = spread(df).withColumn("_t", tokens(F.coalesce(text, F.lit(""))))
     stats = d.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("len"), *[F.count_if(F.array_contains("_t", w)).alias(f"w{i}") for i, w in enumerate(words)])
     d = d.crossJoin(F.broadcast(stats))  # a single row
     norm = F.lit(k1) * (1 - b + b * F.size("_t") / F.col("len"))
@@ -48,6 +49,18 @@ def bm25_search(df: DataFrame, text: Column, query: str, k: int, k1: float = 1.2
     return top(scored, k)
 
 
+def token_index(df: DataFrame, text: Column) -> DataFrame:
+    """(token, koid, size): the inverted table of texts, to be kept (written by token, grown by ``streaming.cdc.maintain``)."""
+    return spread(df).select("koid", tokens(F.coalesce(text, F.lit(""))).alias("t")).select(F.explode("t").alias("token"), "koid", F.size("t").alias("size"))
+
+
+def indexed_search(index: DataFrame, query: str, k: int) -> DataFrame:
+    """(koid, score): the k best by Jaccard of token sets from the inverted table; only the query's tokens are read."""
+    words = _words(query)
+    hits = index.where(F.col("token").isin(*words)).groupBy("koid").agg(F.count("*").alias("shared"), F.max("size").alias("size"))
+    return top(hits.select("koid", F.round(F.col("shared") / (F.col("size") + len(words) - F.col("shared")), DIGITS).alias("score")), k)
+
+
 def vector_search(df: DataFrame, vec: Column, query: list[float], k: int) -> DataFrame:
     """Cosine against one vector; rows without a vector are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from koengine.operators.changes import kind_code
 from koengine.runtime import ship_code
 
 
@@ -84,3 +85,36 @@ def verify_chain(journal: DataFrame) -> DataFrame:
     j = one.join(before, "seq", "left").crossJoin(F.broadcast(first))
     status = F.when(F.col("seq") == F.col("first"), "ok").when(F.col("expected").isNull(), "gap").when(F.col("expected") == F.col("prev_audit_hash"), "ok").otherwise("broken")
     return j.select("seq", status.alias("status"))
+
+
+def event_fields(columns: tuple[str, ...] = ("seq", "koid", "version", "kind", "commit_ts", "payload_hash", "signature", "actor", "note")) -> Column:
+    """One text of all fields that an audit hash covers; each is preceded by its length, so no two rows make the same text."""
+    part = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+    return F.concat_ws("|", *[part(c) for c in columns])
+
+
+def seal(events: DataFrame) -> DataFrame:
+    """``events`` (seq, koid, version, kind, commit_ts, payload, signature, actor, note) with payload_hash, prev_audit_hash and audit_hash.
+
+    The payload's hash and all other fields enter the audit hash, and so does the hash before.
+    """
+    e = events.withColumn("payload_hash", F.sha2(F.coalesce("payload", F.lit("")).cast("binary"), 256))
+    chain = build_chain(e.withColumn("one_", F.lit(0)), chain="one_", order="seq", payload=event_fields())
+    return e.join(chain.select("seq", F.col("prev_hash").alias("prev_audit_hash"), "audit_hash"), "seq")
+
+
+def prove(journal: DataFrame) -> DataFrame:
+    """(seq, status) of every row of a sealed journal, all hashes recomputed.
+
+    'payload' if the payload no longer gives its hash, 'hash' if the fields and the hash before no
+    longer give the audit hash, else the status of :func:`verify_chain`. A forgotten object's payload
+    may be gone (null payload, hash kept): that is no damage if the kind is a ``Forgotten``. Each row
+    needs only itself and its predecessor, so all rows are proved in parallel.
+    """
+    text = F.coalesce("payload", F.lit("")).cast("binary")
+    gone = F.col("payload").isNull() & (kind_code(F.col("kind")) == "forgotten")
+    audit = F.sha2(F.concat("prev_audit_hash", F.sha2(event_fields().cast("binary"), 256)).cast("binary"), 256)
+    bad = F.when(~F.coalesce(gone, F.lit(False)) & ~F.col("payload_hash").eqNullSafe(F.sha2(text, 256)), 2).when(~F.col("audit_hash").eqNullSafe(audit), 1).otherwise(0)
+    own = journal.groupBy("seq").agg(F.max(bad).alias("bad"))
+    status = F.when(F.col("bad") == 2, "payload").when(F.col("bad") == 1, "hash").otherwise(F.col("status"))
+    return own.join(verify_chain(journal), "seq").select("seq", status.alias("status"))

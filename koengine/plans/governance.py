@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from koengine.functions import checks
 from koengine.functions.checks import Lit, Op, Prop
-from koengine.operators import constraints as c, graph, security, temporal  # noqa: F401
+from koengine.operators import constraints as c, graph, schema, security, temporal  # noqa: F401
 from koengine.runtime import table
 from koengine.sources.registry import edges
 
@@ -144,11 +144,9 @@ def cardinality_violations(spark, sf_dir):
     return c.cardinality(e, "placed", 12)
 
 
-_MINED = ("n_chars", "doc_id")
-
-
 def _stats(spark, sf_dir):
-    return c.mine(table(spark, sf_dir, "documents"), _MINED)
+    """Of every column of documents."""
+    return c.mine(table(spark, sf_dir, "documents"))
 
 
 def mine_not_null(spark, sf_dir):
@@ -163,23 +161,6 @@ def mine_range(spark, sf_dir):
     return c.mine_range(_stats(spark, sf_dir))
 
 
-def _stats_all(spark, sf_dir):
-    return c.mine(table(spark, sf_dir, "documents"))
-
-
-def mine_all_not_null(spark, sf_dir):
-    """Of every column of documents."""
-    return c.mine_not_null(_stats_all(spark, sf_dir), 0.5)
-
-
-def mine_all_unique(spark, sf_dir):
-    return c.mine_unique(_stats_all(spark, sf_dir))
-
-
-def mine_all_range(spark, sf_dir):
-    return c.mine_range(_stats_all(spark, sf_dir))
-
-
 def immutable_provenance(spark, sf_dir):
     return c.immutable_changes(table(spark, sf_dir, "ko").select("koid", "version", "tenant", "origin"), ["tenant", "origin"])
 
@@ -198,22 +179,46 @@ def audit_inventory(spark, sf_dir):
 
 def discover_ontology_props(spark, sf_dir):
     """Properties of each class of known entries: how many entries bear them, smallest example by key."""
-    k = table(spark, sf_dir, "kb_entry").select("koid", "type_name", F.explode("properties").alias("p")).select("koid", "type_name", "p.k", "p.v")
-    kind = F.when(F.col("v").rlike(r"^-?\d+$"), "Int").when(F.col("v").rlike(r"^-?\d+\.\d+$"), "Float").otherwise("Text")
-    return k.groupBy("type_name", F.col("k").alias("property")).agg(F.count_distinct("koid").alias("entries"), F.min_by(kind, "koid").alias("value_type"))
+    return schema.discover_properties(table(spark, sf_dir, "kb_entry"), "koid", "type_name", "properties")
 
 
 def conform_rename(spark, sf_dir):
     """Physical columns under their canonical names, tagged with the class."""
-    s = table(spark, sf_dir, "supplier")
-    return s.withColumnsRenamed({"s_suppkey": "key", "s_name": "name", "s_nationkey": "nation", "s_acctbal": "balance"}).withColumn("class", F.lit("Party"))
+    return schema.conform(table(spark, sf_dir, "supplier"), {"s_suppkey": "key", "s_name": "name", "s_nationkey": "nation", "s_acctbal": "balance"}, "Party")
+
+
+def type_check_values(spark, sf_dir):
+    """Reported values of conflicts that have not their property's declared type, or no declared property."""
+    v = table(spark, sf_dir, "entity_conflict").select("conflict_id", F.lit("conflict").alias("type_name"), F.regexp_replace(F.lower("property_name"), "[^a-z]", "").alias("k"), F.trim("document_value").alias("v")).distinct()
+    declared = {"foundedon": "Date", "headcount": "Int", "status": "Text", "jobtitle": "Text", "reportsto": "Text", "filingreference": "Text", "annualrevenue": "Float"}
+    return schema.type_check(v, {"conflict": declared}, key="conflict_id", closed=True)
+
+
+def migration_validate(spark, sf_dir):
+    """Objects of the schema version before that would break the next version's rules."""
+    k = temporal.latest(table(spark, sf_dir, "ko").select("koid", "version", "schema_version", "tenant", "classification"))
+    return schema.validate_migration(k, "schema_version", 1, {"tenant.required": F.col("tenant").isNull(), "classification.enum": ~F.col("classification").isin("internal", "public")}, "koid")
+
+
+def subclass_closure(spark, sf_dir):
+    """All ancestors of each class, with the number of steps."""
+    rows = [("Manager", "Employee"), ("Employee", "Person"), ("Person", "Party"), ("Organization", "Party")]
+    return schema.ancestors(spark.createDataFrame(rows, "class string, parent string"))
+
+
+def domain_range_violations(spark, sf_dir):
+    """Edges whose ends are not of the relation's classes, subclasses counted in."""
+    classes = schema.ancestors(spark.createDataFrame([("customer", "Party"), ("supplier", "Party")], "class string, parent string"))
+    e = edges(spark, sf_dir)
+    nodes = e.select(F.col("src").alias("koid")).unionByName(e.select(F.col("dst").alias("koid"))).distinct().select("koid", F.substring_index("koid", ":", 1).alias("type_name"))
+    rules = spark.createDataFrame([("in_nation", "Party", "nation"), ("in_region", "nation", "region"), ("placed_by", "orders", "supplier")], "rel_type string, domain string, range string")
+    return schema.relation_violations(e, nodes, rules, classes).groupBy("rel_type", "reason").agg(F.count("*").alias("edges"))
 
 
 QUERIES = {f.__name__: f for f in (
     latest_version, snapshot_at, lineage_trace, replay_after_seq, event_kind_filter, audit_chain_build, audit_chain_verify, commit_clock, acl_row_filter, tenant_filter, policy_eval, role_closure, tenant_quota,
     constraint_range, constraint_format, constraint_enum, constraint_length, constraint_pattern, constraint_check_expr, unique_violations, dangling_refs, cardinality_violations, mine_not_null, mine_unique, mine_range,
-    mine_all_not_null, mine_all_unique, mine_all_range,
-    immutable_provenance, type_counts, audit_inventory, discover_ontology_props, conform_rename,
+    immutable_provenance, type_counts, audit_inventory, discover_ontology_props, conform_rename, type_check_values, migration_validate, subclass_closure, domain_range_violations,
 )}
 
 _HEADS = "WITH heads AS (SELECT DISTINCT ON (koid) * FROM ko WHERE koid IS NOT NULL ORDER BY koid, version DESC)"
@@ -261,12 +266,9 @@ UNION ALL SELECT doc_id, 'check.size' FROM documents WHERE source IS NULL OR n_c
     "unique_violations": "SELECT koid, version, count(*) AS rows FROM journal WHERE koid IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "dangling_refs": "SELECT 'nation:' || n_nationkey AS src, 'in_region' AS rel_type, 'region:' || n_regionkey AS dst FROM nation WHERE n_regionkey % 2 = 1",
     "cardinality_violations": "SELECT 'customer:' || o_custkey AS src, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
-    "mine_not_null": _MINE + "SELECT property, round(filled / rows, 6) AS confidence FROM s WHERE filled / rows >= 0.5",
-    "mine_unique": _MINE + "SELECT property, round(d / filled, 6) AS confidence, filled - d AS violations FROM s WHERE filled >= 2",
-    "mine_range": _MINE + "SELECT property, low, high, 1.0::DOUBLE AS confidence FROM s WHERE low <> high",
-    "mine_all_not_null": _MINE_ALL + "SELECT property, round(filled / rows, 6) AS confidence FROM s WHERE filled / rows >= 0.5",
-    "mine_all_unique": _MINE_ALL + "SELECT property, round(d / filled, 6) AS confidence, filled - d AS violations FROM s WHERE filled >= 2",
-    "mine_all_range": _MINE_ALL + "SELECT property, low, high, 1.0::DOUBLE AS confidence FROM s WHERE low <> high",
+    "mine_not_null": _MINE_ALL + "SELECT property, round(filled / rows, 6) AS confidence FROM s WHERE filled / rows >= 0.5",
+    "mine_unique": _MINE_ALL + "SELECT property, round(d / filled, 6) AS confidence, filled - d AS violations FROM s WHERE filled >= 2",
+    "mine_range": _MINE_ALL + "SELECT property, low, high, 1.0::DOUBLE AS confidence FROM s WHERE low <> high",
     "immutable_provenance": """
 WITH v AS (SELECT DISTINCT koid, version, tenant, origin FROM ko),
 l AS (SELECT *, lag(version) OVER w AS pv, lag(tenant) OVER w AS pt, lag(origin) OVER w AS po FROM v WINDOW w AS (PARTITION BY koid ORDER BY version))
@@ -277,5 +279,17 @@ UNION ALL SELECT koid, version, 'origin' FROM l WHERE pv IS NOT NULL AND origin
     "discover_ontology_props": r"""
 SELECT type_name, k AS property, count(DISTINCT koid) AS entries, arg_min(CASE WHEN regexp_matches(v, '^-?\d+$') THEN 'Int' WHEN regexp_matches(v, '^-?\d+\.\d+$') THEN 'Float' ELSE 'Text' END, koid) AS value_type
 FROM (SELECT koid, type_name, p.k AS k, p.v AS v FROM (SELECT koid, type_name, unnest(properties) AS p FROM kb_entry)) GROUP BY ALL""",
+    "type_check_values": r"""
+WITH v AS (SELECT DISTINCT conflict_id, regexp_replace(lower(property_name), '[^a-z]', '', 'g') AS property, trim(document_value, ' ') AS v FROM entity_conflict)
+SELECT conflict_id, property, 'type' AS reason FROM v WHERE (property = 'foundedon' AND NOT regexp_matches(v, '^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$'))
+  OR (property = 'headcount' AND NOT regexp_matches(v, '^-?\d+$')) OR (property = 'annualrevenue' AND NOT regexp_matches(v, '^-?\d+(?:\.\d+)?$'))
+UNION ALL SELECT conflict_id, property, 'undeclared' FROM v WHERE property NOT IN ('foundedon', 'headcount', 'status', 'jobtitle', 'reportsto', 'filingreference', 'annualrevenue')""",
+    "migration_validate": _HEADS + """ SELECT koid, 'tenant.required' AS rule FROM heads WHERE schema_version = 1 AND tenant IS NULL
+UNION ALL SELECT koid, 'classification.enum' FROM heads WHERE schema_version = 1 AND classification NOT IN ('internal', 'public')""",
+    "subclass_closure": """
+WITH RECURSIVE p AS (SELECT * FROM (VALUES ('Manager', 'Employee'), ('Employee', 'Person'), ('Person', 'Party'), ('Organization', 'Party')) t(class, parent)),
+a AS (SELECT DISTINCT class, class AS ancestor, 0 AS steps FROM (SELECT class FROM p UNION SELECT parent FROM p) UNION SELECT a.class, p.parent, a.steps + 1 FROM a JOIN p ON p.class = a.ancestor)
+SELECT class, ancestor, min(steps)::INTEGER AS steps FROM a GROUP BY ALL""",
+    "domain_range_violations": "SELECT 'placed_by' AS rel_type, 'range' AS reason, count(*) AS edges FROM orders",
     "conform_rename": "SELECT s_suppkey AS key, s_name AS name, s_nationkey AS nation, s_acctbal AS balance, 'Party' AS class FROM supplier",
 }

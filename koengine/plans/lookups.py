@@ -46,12 +46,6 @@ def text_jaccard_topk(spark, sf_dir):
 
 
 def text_inverted_candidates(spark, sf_dir):
-    q = table(spark, sf_dir, "kb_entry").where("type_name = 'Person'").select(F.col("koid").alias("query_id"), F.col("name").alias("text"))
-    people = table(spark, sf_dir, "entity_candidate").select("name").where("name IS NOT NULL").distinct().select(F.col("name").alias("koid"), "name")
-    return search.token_candidates(people, F.col("name"), q.where(F.col("query_id").substr(-1, 1) == "0")).where("shared >= 2").select("query_id", F.col("koid").alias("name"), "shared")
-
-
-def text_inverted_candidates_all(spark, sf_dir):
     """Every known entry against every typed name: all pairs that share a token."""
     q = table(spark, sf_dir, "kb_entry").select(F.col("koid").alias("query_id"), F.col("name").alias("text"))
     names = table(spark, sf_dir, "entity_candidate").select("name").where("name IS NOT NULL").distinct().select(F.col("name").alias("koid"), "name")
@@ -62,6 +56,12 @@ def text_bm25_topk(spark, sf_dir):
     return search.bm25_search(_docs(spark, sf_dir), F.col("text"), QUERY, 10).select("doc_id", "score")
 
 
+def text_indexed_topk(spark, sf_dir):
+    """Through the inverted table."""
+    d = _docs(spark, sf_dir)
+    return search.indexed_search(search.token_index(d, F.col("text")), QUERY, 10).select("koid", "score")
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
@@ -79,13 +79,12 @@ def ann_model_filter(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir, k):
-    """Vector list and text list of the objects that have both a text and a vector, for the vector of object 1."""
+    """Vector list (of the documents that have a vector) for the vector of object 1, and text list of all documents."""
     d = _docs(spark, sf_dir)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    both = d.join(v, "doc_id")
     one = F.broadcast(v.where("doc_id = 1").select(F.col("vec").alias("q")))  # one row by key
-    vec = search.top(both.crossJoin(one).withColumn("score", F.round(cosine(F.col("vec"), F.col("q")), 6)), k).select("koid", "score")
-    return vec, search.text_search(both, F.col("text"), QUERY, k).select("koid", "score")
+    near = v.join(d.select("doc_id", "koid"), "doc_id").crossJoin(one).withColumn("score", F.round(cosine(F.col("vec"), F.col("q")), 6))
+    return search.top(near, k).select("koid", "score"), search.text_search(d, F.col("text"), QUERY, k).select("koid", "score")
 
 
 def fuse_rrf_runtime(spark, sf_dir):
@@ -137,11 +136,9 @@ def _cos(a: str, b: str) -> str:
 
 
 _HYBRID = f"""
-WITH both_ AS (
-  SELECT CAST(d.doc_id AS VARCHAR) AS koid, {_T} AS t, e.embedding AS v FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
-), one AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1),
-vec AS (SELECT koid, {_cos('v', 'q')} AS score FROM both_, one ORDER BY score DESC, koid LIMIT <K>),
-txt AS (SELECT koid, {_jac(_WORDS)} AS score FROM both_ ORDER BY score DESC, koid LIMIT <K>),
+WITH docs AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS koid, {_T} AS t FROM documents), one AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1),
+vec AS (SELECT koid, {_cos('embedding', 'q')} AS score FROM docs JOIN embeddings ON vec_id = doc_id, one ORDER BY score DESC, koid LIMIT <K>),
+txt AS (SELECT koid, {_jac(_WORDS)} AS score FROM docs ORDER BY score DESC, koid LIMIT <K>),
 rv AS (SELECT koid, row_number() OVER (ORDER BY score DESC, koid) AS r FROM vec WHERE score > 0),
 rt AS (SELECT koid, row_number() OVER (ORDER BY score DESC, koid) AS r FROM txt WHERE score > 0)
 """
@@ -170,21 +167,9 @@ def edges_inbound(spark, sf_dir):
 
 def _traverse(depth: int, direction: str = "out", rel: str | None = None):
     def run(spark, sf_dir):
-        """From every customer and order whose key is divisible by 50."""
-        e = edges(spark, sf_dir)
-        seeds = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("orders:"), "o_orderkey").alias("koid"))
-        if direction != "out":
-            seeds = _seed(spark, "region:1")
-        return graph.traverse(e, seeds, depth, rel, direction).select("koid", "rel_type", "depth")
-
-    return run
-
-
-def _traverse_all(depth: int):
-    def run(spark, sf_dir):
-        """From every order."""
-        seeds = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders:"), "o_orderkey").alias("koid"))
-        return graph.traverse(edges(spark, sf_dir), seeds, depth).select("koid", "rel_type", "depth")
+        """From every order, or against the edges from one region."""
+        seeds = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders:"), "o_orderkey").alias("koid")) if direction == "out" else _seed(spark, "region:1")
+        return graph.traverse(edges(spark, sf_dir), seeds, depth, rel, direction).select("koid", "rel_type", "depth")
 
     return run
 
@@ -215,12 +200,11 @@ def _traverse_sql(depth: int, seeds: str, both: bool = False, inward: bool = Fal
 
 
 _ALL = "SELECT DISTINCT 'orders:' || o_orderkey AS koid FROM orders"
-_FIFTY = "SELECT DISTINCT 'orders:' || o_orderkey AS koid FROM orders WHERE o_orderkey % 50 = 0"
 
 QUERIES = {
     "match_query_text": _match('MATCH orders WHERE o_orderstatus == "F" AND o_totalprice > 150000 RETURN o_orderkey, o_totalprice'),
     "match_query_json": _json({"scan": {"type": "documents"}, "filter": {"lang": "en", "source": "wiki_export"}, "project": ["doc_id", "n_chars"]}),
-    "scan_type": _match("MATCH nation RETURN *"),
+    "scan_type": _match("MATCH orders RETURN *"),
     "filter_eq": _match('MATCH orders WHERE o_orderstatus == "F" RETURN o_orderkey'),
     "filter_neq_missing": _match('MATCH documents WHERE lang != "en" RETURN doc_id, lang'),
     "filter_range": _match("MATCH orders WHERE o_totalprice >= 100000 AND o_totalprice < 120000 RETURN o_orderkey, o_totalprice"),
@@ -232,8 +216,8 @@ QUERIES = {
     "ontology_expand_union": _match("MATCH Party RETURN *"),
     "text_jaccard_topk": text_jaccard_topk,
     "text_inverted_candidates": text_inverted_candidates,
-    "text_inverted_candidates_all": text_inverted_candidates_all,
     "text_bm25_topk": text_bm25_topk,
+    "text_indexed_topk": text_indexed_topk,
     "ann_topk": ann_topk,
     "ann_model_filter": ann_model_filter,
     "fuse_rrf_runtime": fuse_rrf_runtime,
@@ -248,9 +232,6 @@ QUERIES = {
     "traverse_depth1": _traverse(1),
     "traverse_depth2": _traverse(2),
     "traverse_depth3": _traverse(3),
-    "traverse_all_depth1": _traverse_all(1),
-    "traverse_all_depth2": _traverse_all(2),
-    "traverse_all_depth3": _traverse_all(3),
     "traverse_inbound": _traverse(2, "in"),
     "traverse_both": _traverse(2, "both"),
     "traverse_multi_seed": traverse_multi_seed,
@@ -268,7 +249,7 @@ _PERSONS = TOKENS.format("name")
 ORACLES = {
     "match_query_text": f"SELECT {_ORDERS}, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000",
     "match_query_json": "SELECT CAST(doc_id AS VARCHAR) AS koid, 'documents' AS type_name, 1::BIGINT AS version, doc_id, n_chars FROM documents WHERE lang = 'en' AND source = 'wiki_export'",
-    "scan_type": "SELECT CAST(n_nationkey AS VARCHAR) AS koid, 'nation' AS type_name, 1::BIGINT AS version, * FROM nation",
+    "scan_type": "SELECT CAST(o_orderkey AS VARCHAR) AS koid, 'orders' AS type_name, 1::BIGINT AS version, * FROM orders",
     "filter_eq": f"SELECT {_ORDERS}, o_orderkey FROM orders WHERE o_orderstatus = 'F'",
     "filter_neq_missing": "SELECT CAST(doc_id AS VARCHAR) AS koid, 'documents' AS type_name, 1::BIGINT AS version, doc_id, lang FROM documents WHERE lang IS DISTINCT FROM 'en'",
     "filter_range": f"SELECT {_ORDERS}, o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 120000",
@@ -283,14 +264,11 @@ SELECT CAST(c_custkey AS VARCHAR) AS koid, 'customer' AS type_name, 1::BIGINT AS
 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'supplier', 1::BIGINT, NULL, NULL, NULL, NULL, NULL, s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier""",
     "text_jaccard_topk": f"SELECT doc_id, score FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS koid, {_jac(_WORDS)} AS score FROM (SELECT doc_id, {_T} AS t FROM documents)) ORDER BY score DESC, koid LIMIT 10",
     "text_inverted_candidates": f"""
-WITH q AS (SELECT koid AS query_id, unnest({_PERSONS}) AS token FROM kb_entry WHERE type_name = 'Person' AND koid LIKE '%0'),
-d AS (SELECT name, unnest({_PERSONS}) AS token FROM (SELECT DISTINCT name FROM entity_candidate WHERE name IS NOT NULL))
-SELECT query_id, name, count(*) AS shared FROM d JOIN q USING (token) GROUP BY ALL HAVING count(*) >= 2""",
-    "text_inverted_candidates_all": f"""
 WITH q AS (SELECT koid AS query_id, unnest({_PERSONS}) AS token FROM kb_entry),
 d AS (SELECT name, unnest({_PERSONS}) AS token FROM (SELECT DISTINCT name FROM entity_candidate WHERE name IS NOT NULL))
 SELECT query_id, name, count(*) AS shared FROM d JOIN q USING (token) GROUP BY ALL""",
     "text_bm25_topk": _BM25,
+    "text_indexed_topk": f"SELECT koid, score FROM (SELECT CAST(doc_id AS VARCHAR) AS koid, {_jac(_WORDS)} AS score FROM (SELECT doc_id, {_T} AS t FROM documents)) WHERE score > 0 ORDER BY score DESC, koid LIMIT 10",
     "ann_topk": f"""
 SELECT query_id, id, cosine, rank::INTEGER AS rank FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS id, {_cos('a.embedding', 'b.embedding')} AS cosine,
@@ -318,12 +296,9 @@ SELECT p_partkey, score FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS ko
 WHERE score > 0 ORDER BY score DESC, koid LIMIT 10""",
     "edges_outbound": _EDGES + " SELECT * FROM edge WHERE src = 'customer:7'",
     "edges_inbound": _EDGES + " SELECT * FROM edge WHERE dst = 'nation:7'",
-    "traverse_depth1": _traverse_sql(1, _FIFTY),
-    "traverse_depth2": _traverse_sql(2, _FIFTY),
-    "traverse_depth3": _traverse_sql(3, _FIFTY),
-    "traverse_all_depth1": _traverse_sql(1, _ALL),
-    "traverse_all_depth2": _traverse_sql(2, _ALL),
-    "traverse_all_depth3": _traverse_sql(3, _ALL),
+    "traverse_depth1": _traverse_sql(1, _ALL),
+    "traverse_depth2": _traverse_sql(2, _ALL),
+    "traverse_depth3": _traverse_sql(3, _ALL),
     "traverse_inbound": _traverse_sql(2, "SELECT 'region:1' AS koid", inward=True),
     "traverse_both": _traverse_sql(2, "SELECT 'region:1' AS koid", both=True),
     "traverse_multi_seed": _traverse_sql(2, "SELECT unnest(['customer:1', 'customer:2', 'supplier:3', 'nation:4']) AS koid"),

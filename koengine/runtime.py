@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,10 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; on one machine (``local`` masters) a temporary one where the session names none.
+
+    On any other master a missing ``spark.checkpoint.dir`` is an error: executors do not share a temporary folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(?:\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir names no shared folder, and on {master} a temporary one would be each machine's own")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="koengine-")
@@ -43,12 +50,20 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def _leave_nothing(spark: SparkSession, path: str) -> None:
+    """The folder goes when the session ends, whatever file system it is on."""
+    if path.startswith(("file:", "/")):
+        atexit.register(_remove, path.removeprefix("file://"))
+    else:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df: DataFrame, name: str = "step", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: an executor-loss-proof lineage cut."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/koengine/{name}-{uuid.uuid4().hex}"
-    if path.startswith(("file:", "/")):  # a mounted folder: leave nothing behind
-        atexit.register(_remove, path.removeprefix("file://"))
+    _leave_nothing(spark, path)
     writer = df.write.option("compression", "zstd").mode("error")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -72,6 +87,12 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, if its scan has fewer: for few bytes that need much work a row."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

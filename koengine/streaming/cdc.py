@@ -6,6 +6,7 @@ into the stream, and a restart replays from the checkpoint. ``availableNow`` dra
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -32,7 +33,7 @@ def journal_stream(spark: SparkSession, path: str, kinds: tuple[str, ...] | None
     s = reader.parquet(path)
     if koid is not None:
         s = s.where(F.col("koid") == koid)
-    return s.where(kind_code(F.col("kind")).isin(*[k.lower() for k in kinds])) if kinds else s
+    return s.where(kind_code(F.col("kind")).isin(*[re.sub("[^a-z]", "", k.lower()) for k in kinds])) if kinds else s
 
 
 def subscribe(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
