@@ -439,7 +439,13 @@ def _fits(pairs: DataFrame, bags: DataFrame, known: DataFrame, words: Words, sho
     spark = pairs.sparkSession
     shared = spark.sparkContext.broadcast(words)
     meant = bags.select("bag", F.explode("toks").alias("token")).join(shorts, "token").groupBy("bag").agg(F.collect_set(F.concat_ws(" ", "token", "given")).alias("shorts"))
-    full = pairs.join(bags.select(F.xxhash64("bag").alias("bid"), "bag", "toks", "acro_of", "acro"), "bid").join(meant, "bag", "left").join(known.select(F.xxhash64("koid").alias("kid"), "koid", "person", "head", "rest", "alone"), "kid").repartition(shuffle_parts(spark))
+    full = pairs.join(bags.select(F.xxhash64("bag").alias("bid"), "bag", "toks", "acro_of", "acro"), "bid").join(meant, "bag", "left").join(known.select(F.xxhash64("koid").alias("kid"), "koid", "person", "head", "rest", "alone"), "kid")
+    # what cannot pass goes before Python sees it: no token within the edits that the family, or a firm's first own word, allows
+    # (a swap is two edits here), unless the name is one word or an acronym
+    word = F.when(F.col("person"), F.try_element_at("head", F.lit(2))).otherwise(F.try_element_at("head", F.lit(1)))
+    close = F.exists("toks", lambda t: F.levenshtein(t, word) <= F.when(F.greatest(F.length(t), F.length(word)) < 8, 2).otherwise(4))
+    single = F.size(F.filter("toks", lambda t: ~t.isin(*LEGAL))) <= 1
+    full = full.where(F.col("acro") | single | F.coalesce(close, F.lit(False))).repartition(shuffle_parts(spark))
 
     def check(batches):
         ws = shared.value
