@@ -133,6 +133,28 @@ def test_residue(spark):
     assert residue.find_residue(df.limit(0), key="id", text="text", host="host").count() == 0
 
 
+def test_residue_of_words_in_no_phrase_list(spark):
+    bad = [
+        "upstream connect error or disconnect/reset before headers", "Cannot GET /api/v1/items", "Lorem doppelt ipsum gebucht dolor amet.", "Scripts are switched off: allow scripts or cookies.", "HTTP 504", "Captcha required",
+        "Zugriff verweigert!", "x" * 5000 + "\n404 Not Found\n" + "Page not found. " * 300,
+    ]
+    good = ["The scripts of the nightly run write one line for each lease that was renewed, and the browser shows them in a table beside the graph.", "Our error budget for the quarter is spent, so the team pauses releases until the platform group has met."]
+    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(bad[:-1] + good)], "id long, text string, host string")
+    got = {r["id"] for r in residue.find_residue(df, key="id", text="text", host="host").collect()}
+    assert got == set(range(len(bad) - 1))
+
+
+def test_residue_learns_from_pages_beside_known_ones(spark):
+    """A line without any seed word is evidence once it stands beside known ones on several hosts."""
+    line = "Wombat tripped over quux."
+    rows = [(i, f"503 Service Unavailable\n{line}", f"h{i}") for i in range(12)]
+    rows += [(100 + i, f"The planner of run {i} wrote a note about topic {i * 7} and error handling in the {w} module, which the desk reviews.", f"h{i % 9}") for i, w in enumerate(["lease", "graph", "scan", "merge", "trace"] * 12)]
+    alone = [(500, line, "h3"), (501, "A plain remark stands here.", "h4")]
+    find = lambda r: {x["id"] for x in residue.find_residue(spark.createDataFrame(r, "id long, text string, host string"), key="id", text="text", host="host").collect()}
+    assert find(rows + alone) == {*range(12), 500}
+    assert find(rows[12:] + alone) == set()
+
+
 def test_residue_subtracts_recurrent_lines(spark):
     nav = "Shared navigation bar of the whole archive"
     rows = [(i, f"{nav}\nA sentence about topic number {i} that stands by itself.", f"h{i % 5}") for i in range(20)] + [(99, f"{nav}\nPlease enable JavaScript to view this page.", "h0")]
