@@ -10,8 +10,9 @@ Shape of the computation
    leaves are popped. Own leaves (margin never crossed) come first, so every row is indexed in
    each tree and searches its nearest foreign leaves too.
 3. Rows meet in their leaves, 8-bit codes only (one byte per dimension); the leaf scores queries
-   against members in blocks and keeps the best ``k + slack`` per query, or all above
-   ``min_cosine``.
+   against members in blocks and keeps the best ``k + slack`` per query, of those above
+   ``min_cosine`` if that is given. A leaf of more than four times ``LEAF_ROWS`` members is parted
+   again before (:func:`_sub_leaves`).
 4. Candidate pairs are deduplicated and reranked exactly on the full vectors.
 
 Identical vectors are collapsed to one representative before the forest sees them, so a group of
@@ -195,7 +196,34 @@ def _assign(reps: DataFrame, forests: dict[str, list], probes: int) -> DataFrame
     return reps.select("model", "rid", "vec").mapInPandas(run, "model string, leaf long, rid long, own boolean, norm float, code binary")
 
 
-def _score_leaf(k: int, slack: int, min_cosine: float | None):
+def _sub_leaves(x: np.ndarray, own: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(queries, members) of a leaf's parts, each of at most ``most`` members: halves along the line through two members.
+
+    A large leaf (a dense region, or more rows than the sampled tree could part) so costs rows times
+    ``most`` products, not rows squared. Queries near a cut, a quarter of them, search both sides.
+    """
+    done, rng = [], np.random.default_rng(len(x))
+    todo = [(np.arange(len(x)), np.flatnonzero(own))]
+    while todo:
+        queries, members = todo.pop()
+        if not len(members) or not len(queries):
+            continue
+        if len(members) <= most:
+            done.append((queries, members))
+            continue
+        a, b = rng.choice(members, 2, replace=False)
+        line = x[a] - x[b]
+        pm, pq = x[members] @ line, x[queries] @ line
+        order = np.argsort(pm, kind="stable")  # halves of equal size, whatever is tied
+        half = len(order) // 2
+        cut = (pm[order[half - 1]] + pm[order[half]]) / 2
+        near = np.abs(pq - cut) <= np.quantile(np.abs(pq - cut), 0.25)
+        todo.append((queries[(pq <= cut) | near], members[order[:half]]))
+        todo.append((queries[(pq > cut) | near], members[order[half:]]))
+    return done
+
+
+def _score_leaf(k: int, slack: int, min_cosine: float | None, most: int = 4 * LEAF_ROWS):
     keep = k + slack
 
     def run(key, table):
@@ -207,23 +235,19 @@ def _score_leaf(k: int, slack: int, min_cosine: float | None):
         buf = table.column("code").combine_chunks()
         raw = b"".join(buf.to_pylist())
         x = np.frombuffer(raw, dtype=np.int8).reshape(len(rid), -1).astype(np.float32) / norm[:, None]
-        members = np.flatnonzero(own)
         out_q, out_m, out_s = [], [], []
-        if len(members):
-            mid = rid[members]
+        for queries, members in _sub_leaves(x, own, most):
+            mid, qid, xq = rid[members], rid[queries], x[queries]
             step = max(1, 4_000_000 // len(members))
-            for s in range(0, len(rid), step):
-                sim = x[s : s + step] @ x[members].T
-                sim[rid[s : s + step][:, None] == mid[None, :]] = -2
-                if min_cosine is not None:
-                    i, j = np.nonzero(sim >= min_cosine - 0.02)
-                else:
-                    top = min(keep, sim.shape[1])
-                    j = np.argpartition(-sim, top - 1, axis=1)[:, :top].ravel()
-                    i = np.repeat(np.arange(len(sim)), top)
-                    ok = sim[i, j] > -2
-                    i, j = i[ok], j[ok]
-                out_q.append(rid[s + i])
+            for s in range(0, len(queries), step):
+                sim = xq[s : s + step] @ x[members].T
+                sim[qid[s : s + step][:, None] == mid[None, :]] = -2
+                top = min(keep, sim.shape[1])
+                j = np.argpartition(-sim, top - 1, axis=1)[:, :top].ravel()
+                i = np.repeat(np.arange(len(sim)), top)
+                ok = sim[i, j] > (-2 if min_cosine is None else min_cosine - 0.02)
+                i, j = i[ok], j[ok]
+                out_q.append(qid[s + i])
                 out_m.append(mid[j])
                 out_s.append(sim[i, j])
         q = np.concatenate(out_q) if out_q else np.zeros(0, np.int64)
