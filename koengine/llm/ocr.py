@@ -225,7 +225,7 @@ def furniture(lines: DataFrame, edge: int = 3, dense: int = DENSE_KEYS) -> DataF
     """
     near = lines.where((F.col("place") < edge) | (F.col("back") < edge))
     alone = near.withColumn("alone", F.col("line").rlike(PAGE_NUMBER)).withColumn("key", edge_key(F.col("line")))
-    near = alone.where(~F.col("alone") & (F.length("key") >= 6) & (F.length("key") <= 80) & ~F.col("line").rlike(r"^\s*(?:\d+(?:\.\d+)+|Section \d+|§)"))
+    near = alone.where(~F.col("alone") & (F.length("key") >= 6) & ~F.col("line").rlike(r"^\s*(?:\d+(?:\.\d+)+|Section \d+|§)"))
     near = near.withColumn("slot", F.when(F.col("place") < edge, F.lit("t")).otherwise(F.lit("b"))).where("document_id IS NOT NULL")
     near = materialize(near.select("document_id", "slot", "key", "page_id", "line_no", F.col("line").rlike(PAGE_INSIDE).alias("numbered")), "edges")
     alike = materialize(alike_keys(near.select("document_id", "slot", "key").distinct(), dense), "alike")
@@ -324,7 +324,7 @@ def detect(pages: DataFrame, *, seed: int = 5) -> dict[str, DataFrame]:
     # forms to judge: all words, and words joined over a break
     extra = joins.where(F.col("join") & (F.col("right") != "")).groupBy(F.col("joined").alias("form")).agg(F.count("*").alias("k"))
     forms = vocab.join(extra, "form", "full").select("form", (F.coalesce("n", F.lit(0)) + F.coalesce("k", F.lit(0))).cast("long").alias("n"), F.coalesce("conf", F.lit(80.0)).alias("conf"))
-    forms = materialize(forms.where(F.length("form") <= 40), "ocr-all-forms")
+    forms = materialize(forms, "ocr-all-forms")
     best = materialize(best_candidates(forms, reader), "ocr-best")
     bad = best.select("form")
     plain = tokens.join(bad, "form", "left_semi").select("page_id", "line_no")
@@ -338,14 +338,13 @@ def detect(pages: DataFrame, *, seed: int = 5) -> dict[str, DataFrame]:
     return {"lines": lines, "joins": joins, "misread": misread, "forms": best}
 
 
-def best_candidates(forms: DataFrame, reader, *, ratio: float = 4.0, threshold: float = 0.9) -> DataFrame:
+def best_candidates(forms: DataFrame, reader, *, ratio: float = 4.0, least_count: int = 6, threshold: float = 0.9) -> DataFrame:
     """(form, best, score) of every form that is a misreading; candidates come through shared bigrams.
 
-    A candidate is a word of letters at least ``ratio`` times as common as the form, and common in
-    itself (one in 50,000 words, at least 3).
+    A candidate is a word of letters at least ``ratio`` times as common as the form and seen
+    ``least_count`` times, whatever the size of the corpus.
     """
-    total = forms.agg(F.sum("n")).first()[0] or 0
-    floor = max(3.0, total / 50_000)
+    floor = least_count
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, 2)))
     pure = forms.where((F.col("n") >= floor) & F.col("form").rlike(r"^\p{L}{2,}$")).select(F.col("form").alias("cand"), F.col("n").alias("m"), F.explode(grams(F.col("form"))).alias("g"))
     # a ligature stands for its letters, so it shares their bigrams
@@ -402,7 +401,7 @@ def repair(pages: DataFrame) -> DataFrame:
     words = words.join(found["forms"].select("form", "best"), "form", "left")
     first = F.col("w").rlike(r"^[\"'(\[]*\p{Lu}")
     fixed = F.when(F.col("best").isNull() | (F.length("form") == 0), F.col("w")).otherwise(F.expr("replace(w, regexp_extract(w, '[^\"\\'(\\\\[.,;:?].*[^\"\\')\\\\].,;:?]|[^\"\\'(\\\\[.,;:?]', 0), " + "best)"))
-    fixed = F.when(F.col("best").isNotNull() & first, F.concat(F.upper(F.substring(fixed, 1, 1)), F.substring(fixed, 2, 10_000))).otherwise(fixed)
+    fixed = F.when(F.col("best").isNotNull() & first, F.concat(F.upper(F.substring(fixed, 1, 1)), F.substr(fixed, F.lit(2)))).otherwise(fixed)
     line = words.groupBy("document_id", "page", "page_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", fixed.alias("t")))), lambda s: s["t"]), " ").alias("text"))
     w = W.partitionBy("document_id").orderBy("page", "page_id", "line_no")
     prev_line, prev_page, prev_text = F.lag("line_no").over(w), F.lag("page_id").over(w), F.lag("text").over(w)
