@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from koengine.runtime import materialize, ship_code
 
-MAX_GIVEN_NAMES = 50_000
+#: Distinct given names that may be broadcast; more are refused, not dropped.
+MAX_GIVEN_NAMES = 2_000_000
 
 _L = r"[^\W\d_]"
 EMAIL = re.compile(
@@ -222,11 +223,20 @@ def read_text(text: str, given: frozenset[str], shorts: frozenset[str] = frozens
 _SCHEMA = "key long, start_at long, end_at long, class string, shape string, seed string, l2 string, m2 string, r2 string"
 
 
-def find_personal(df: DataFrame, people: DataFrame, *, key: str, text: str, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
+def _lexicon(words: DataFrame) -> frozenset[str]:
+    """All words of one column; their number grows with the variety of names, not with the persons, and is checked."""
+    if words.count() > MAX_GIVEN_NAMES:
+        raise ValueError(f"more than {MAX_GIVEN_NAMES} distinct given names cannot be broadcast")
+    return frozenset(r[0] for r in words.collect())
+
+
+def find_personal(df: DataFrame, people: DataFrame, *, key: str, text: str, rounds: int = 20, threshold: float = 0.5) -> DataFrame:
     """(key, pii_type, start_at, end_at, score) of every finding, without overlaps.
 
     ``people`` has a column ``name``: known persons, whose given names are seeds (distinct given
-    names only, at most ``MAX_GIVEN_NAMES``, are broadcast). Offsets count code points from 0.
+    names only are broadcast, checked against ``MAX_GIVEN_NAMES``); its ``aliases``, if there, give
+    short forms. Patterns and candidates score each other until a round believes no further group,
+    ``rounds`` times at most. Offsets count code points from 0.
 
     Defined cases: null and blank texts have none; repeated keys count once, by their largest text;
     equal findings at one place are one; very long texts are read whole; further columns are
@@ -235,13 +245,13 @@ def find_personal(df: DataFrame, people: DataFrame, *, key: str, text: str, roun
     spark = df.sparkSession
     ship_code(spark)
     names = people.where("name IS NOT NULL").select(F.lower(F.regexp_extract("name", r"^(\p{L}{3,})[ ]", 1)).alias("g")).where("g <> ''").groupBy("g").count()
-    given = frozenset(r["g"] for r in names.orderBy(F.desc("count"), "g").limit(MAX_GIVEN_NAMES).collect())
+    given = _lexicon(names.select("g"))
     shorts = frozenset()
     if "aliases" in people.columns:  # words of an alias that are not the family name
         family = F.lower(F.regexp_extract("name", r"(\p{L}+)\s*$", 1))
         words = people.select(family.alias("f"), F.explode("aliases").alias("a")).select("f", F.explode(F.split(F.lower("a"), r"[^\p{L}]+")).alias("w"))
         words = words.where((F.length("w") >= 3) & (F.levenshtein("w", "f") > 3)).groupBy("w").count()
-        shorts = frozenset(r["w"] for r in words.orderBy(F.desc("count"), "w").limit(MAX_GIVEN_NAMES).collect())
+        shorts = _lexicon(words.select("w"))
     lexicon = spark.sparkContext.broadcast((given, shorts))
     one = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S") & F.col("key").isNotNull())
     one = one.groupBy("key").agg(F.max("text").alias("text"))
@@ -270,6 +280,7 @@ def score_graph(cands: DataFrame, rounds: int, threshold: float) -> DataFrame:
     cued = graph.groupBy("class", "kind", "shape").agg((F.sum(F.when(F.col("label") == 1.0, F.col("n")).otherwise(0)) / F.sum("n")).alias("cued"))
     graph = materialize(graph.join(cued, ["class", "kind", "shape"]), "pii-graph")
     belief = graph.withColumn("score", F.coalesce("label", F.lit(0.0)))
+    believed = -1
     for _ in range(rounds):
         edges = belief.select("class", "kind", "n", "score", F.explode(pattern).alias("x")).select("class", "kind", "n", "score", "x.side", "x.p")
         # shapes of persons say nothing, nor do patterns without a word; half a doubt for each pattern keeps rare ones below common ones
@@ -284,14 +295,21 @@ def score_graph(cands: DataFrame, rounds: int, threshold: float) -> DataFrame:
         numeric = F.when(F.coalesce("cued", F.lit(0.0)) >= 0.02, 1 - (1 - context) * (1 - F.coalesce("q_s", F.lit(0.0)))).otherwise(F.least(context, F.lit(0.4)))
         score = F.when(F.col("class") == "PERSON", context).otherwise(numeric)
         belief = materialize(out.select(*node, "seed", "n", "kind", "label", F.coalesce("label", score).alias("score"), score.alias("open")), "pii-belief")
+        now = belief.where(F.col("open") >= threshold).count()
+        if now == believed:
+            break
+        believed = now
     final = belief.withColumn("open", F.greatest("open", F.coalesce("label", F.lit(0.0)) * 0.6))
     best = final.groupBy(*node, "seed").agg(F.max(F.struct("open", "kind")).alias("x")).select(*node, "seed", F.col("x.open").alias("score"), F.col("x.kind").alias("kind")).where(F.col("score") >= threshold)
     hits = cands.where("class <> 'EMAIL'").join(best, [*node, "seed"]).select("key", F.col("kind").alias("pii_type"), "start_at", "end_at", "score", (F.col("seed") != "").alias("seeded"), ((F.col("shape") == "GIF") & (F.col("seed") == "")).alias("odd"))
     mails = cands.where("class = 'EMAIL'").select("key", F.lit("EMAIL").alias("pii_type"), "start_at", "end_at", F.lit(1.0).alias("score"), F.lit(True).alias("seeded"), F.lit(False).alias("odd"))
     # overlaps: the better context (a doubt for an unknown word before an initial), then seeds, then the longer; a window over one text's findings
     allof = hits.unionByName(mails).withColumn("rank", F.struct(F.round(F.col("score") - F.when(F.col("odd"), 0.2).otherwise(0.0), 1).alias("a"), F.col("seeded").cast("int").alias("b"), (F.col("end_at") - F.col("start_at")).alias("c"), (-F.col("start_at")).alias("d")))
-    w = W.partitionBy("key").orderBy("start_at", "end_at").rowsBetween(-4, 4)
-    rivals = allof.withColumn("near", F.collect_list(F.struct("start_at", "end_at", "rank")).over(w))
+    # findings that overlap, directly or through others, form a chain; each is held against all of its chain
+    order = W.partitionBy("key").orderBy("start_at", "end_at")
+    reach = F.max("end_at").over(order.rowsBetween(W.unboundedPreceding, -1))
+    chained = allof.withColumn("opens", F.when(reach.isNull() | (F.col("start_at") >= reach), 1).otherwise(0)).withColumn("chain", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rivals = chained.withColumn("near", F.collect_list(F.struct("start_at", "end_at", "rank")).over(W.partitionBy("key", "chain")))
     wins = F.forall("near", lambda o: (o["end_at"] <= F.col("start_at")) | (o["start_at"] >= F.col("end_at")) | (o["rank"] <= F.col("rank")))
     return rivals.where(wins).select("key", "pii_type", "start_at", "end_at", "score")
 
