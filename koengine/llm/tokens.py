@@ -10,6 +10,7 @@ and the ids are read off by following it back. Each distinct word is encoded onc
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -161,28 +162,30 @@ class Encoder:
         return out
 
 
+#: Encoders of a worker by the digest of their vocabulary file, so equal file names do no harm.
 _WORKERS: dict[str, Encoder] = {}
 
 
-def _encoder(name: str, blob) -> Encoder:
-    if name not in _WORKERS:
-        _WORKERS[name] = Encoder(blob.value)
-    return _WORKERS[name]
+def _encoder(digest: str, blob) -> Encoder:
+    if digest not in _WORKERS:
+        _WORKERS[digest] = Encoder(blob.value)
+    return _WORKERS[digest]
 
 
 def _vocabulary(df: DataFrame, tokenizer_dir: str, vocabulary: str):
     ship_code(df.sparkSession)
     with open(f"{tokenizer_dir}/{vocabulary}", "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, 1.5 MB
+        data = f.read()
+    return df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()  # one vocabulary file, 1.5 MB
 
 
 def ids_column(df: DataFrame, text: Column, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Column:
     """``array<int>`` of the text's ids, without special tokens; empty for null and empty texts."""
-    blob = _vocabulary(df, tokenizer_dir, vocabulary)
+    blob, digest = _vocabulary(df, tokenizer_dir, vocabulary)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _encoder(vocabulary, blob)
+        enc = _encoder(digest, blob)
         for s in batches:
             yield pd.Series([enc.ids(t) for t in s], dtype=object)
 
@@ -191,11 +194,11 @@ def ids_column(df: DataFrame, text: Column, tokenizer_dir: str = TOKENIZER_DIR,
 
 def count_column(df: DataFrame, text: Column, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Column:
     """Number of ids of the text; 0 for null and empty texts."""
-    blob = _vocabulary(df, tokenizer_dir, vocabulary)
+    blob, digest = _vocabulary(df, tokenizer_dir, vocabulary)
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _encoder(vocabulary, blob)
+        enc = _encoder(digest, blob)
         for s in batches:
             yield pd.Series([len(enc.ids(t)) for t in s], dtype="int64")
 
