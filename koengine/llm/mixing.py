@@ -19,6 +19,8 @@ from koengine.runtime import materialize
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 BUCKETS = 256
+#: Records of one source in a bucket, beyond which there are more buckets.
+BUCKET_ROWS = 50_000
 
 
 def with_sizes(df: DataFrame, *, key: str, source: str, text: str, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
@@ -65,7 +67,10 @@ def mix_sources(sized: DataFrame, targets: DataFrame, *, block_tokens: int | Non
     others are scaled up; ties in the shuffle are ordered by key; repeated keys count once.
     """
     spark = sized.sparkSession
-    have = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each source
+    sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()  # a row for each source
+    have = {r["source"]: r["n"] for r in sums}
+    # a bucket is sorted in one task, so their number follows the largest source
+    buckets = max(BUCKETS, -(-max((r["rows"] for r in sums), default=0) // BUCKET_ROWS))
     want = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("source IS NOT NULL").collect()}
     block, slots, need, line = plan_mixture(have, want, block_tokens)
     # schedule: point of each slot -> source -> rank of the slot within its source
@@ -80,7 +85,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, *, block_tokens: int | Non
     for s, n in need.items():
         copies = F.when(F.col("source") == s, F.lit(n)).otherwise(copies)
     uses = sized.withColumn("copy_no", F.explode(F.sequence(F.lit(0), copies - 1))) if need else sized.where("false").withColumn("copy_no", F.lit(0))
-    uses = uses.where("copy_no >= 0").withColumn("h", F.xxhash64(F.lit(seed), "copy_no", "key")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    uses = uses.where("copy_no >= 0").withColumn("h", F.xxhash64(F.lit(seed), "copy_no", "key")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     totals = uses.groupBy("source", "copy_no", "bucket").agg(F.sum("n_tokens").alias("sum"))
     before = totals.withColumn("before", F.sum("sum").over(W.partitionBy("source").orderBy("copy_no", "bucket").rowsBetween(W.unboundedPreceding, -1)))
     inside = W.partitionBy("source", "copy_no", "bucket").orderBy("h", "key").rowsBetween(W.unboundedPreceding, -1)
