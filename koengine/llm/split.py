@@ -3,7 +3,8 @@
 One bounded-quantifier pattern per size limit consumes the text from left to right. Its
 alternatives are ordered by boundary strength (rest of the text, blank line, line end, sentence
 end, clause end, white space, any character) and each takes at most the limit, so the first that
-matches gives the piece. Overlap is given by lookback offsets: the pieces' lengths are summed with
+matches gives the piece; a boundary in the second half of the room comes before one in the first.
+Overlap is given by lookback offsets: the pieces' lengths are summed with
 array functions and every piece after the first starts ``overlap`` characters early.
 """
 
@@ -29,6 +30,8 @@ def _pattern(limit: Column, overlap: Column) -> Column:
         span = F.format_string("{%d,%d}", half, most)
         out = [F.concat(F.lit(start + r"[\s\S]"), F.format_string("{1,%d}", most), F.lit(r"\z"))]
         out += [F.concat(F.lit(start + r"[\s\S]"), span, F.lit(b)) for b in _BOUNDARIES]
+        # none in the second half: the last one of the first half, before words are cut
+        out += [F.concat(F.lit(start + r"[\s\S]"), F.format_string("{1,%d}", half), F.lit(b)) for b in _BOUNDARIES]
         # fall back to characters, not between the two of a line end nor before a combining mark
         out += [F.concat(F.lit(start + r"[\s\S]"), span, F.lit(r"(?![\p{M}\x{200D}])(?<!\r(?=\n))"))]
         out += [F.concat(F.lit(start + r"[\s\S]"), F.format_string("{1,%d}", most))]

@@ -42,6 +42,12 @@ def test_split_prefers_strong_boundaries(spark):
     assert [r["piece"] for r in split.split_oversized(df, lim, key="id", text="text", kind="k").orderBy("piece_no").collect()] == ["one two three. four five\n\n", "six seven eight nine ten"]
 
 
+def test_split_uses_a_boundary_anywhere_before_it_cuts_a_word(spark):
+    df = spark.createDataFrame([(1, "aaaa bbbb " + "c" * 25)], "id long, text string").withColumn("k", F.lit("P"))
+    lim = spark.createDataFrame([("P", 30, 0)], "block_type string, max_chars int, overlap_chars int")
+    assert [r["piece"] for r in split.split_oversized(df, lim, key="id", text="text", kind="k").orderBy("piece_no").collect()] == ["aaaa bbbb ", "c" * 25]
+
+
 # ---- encoding
 
 
