@@ -106,14 +106,45 @@ def statement_conflicts(facts: DataFrame) -> DataFrame:
     return ends(against, "contradiction").unionByName(ends(alike, "ambiguous")).distinct()
 
 
+#: Words that turn a statement round.
+TURNS = ("not ", "no longer", "instead of", "rather than")
+
+
+def word_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard of the sets of words between spaces; 0 if both are empty."""
+    words = lambda c: F.filter(F.array_distinct(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")), lambda w: w != "")
+    x, y = words(a), words(b)
+    both = F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - both
+    return F.when(union == 0, 0.0).otherwise(both / union)
+
+
+def contradicts(a: Column, b: Column) -> Column:
+    """One statement alone holds a turning word, or both say what something uses and name different things."""
+    x, y = F.lower(a), F.lower(b)
+    turned = F.lit(False)
+    for t in TURNS:
+        turned = turned | (x.contains(t) != y.contains(t))
+    used = lambda c: F.trim(F.coalesce(F.try_element_at(F.split(c, "uses"), F.lit(2)), F.lit("")))
+    return turned | ((used(x) != "") & (used(y) != "") & (used(x) != used(y)))
+
+
 def staleness(facts: DataFrame) -> DataFrame:
-    """(koid, property, value, status): the value of highest confidence (then latest, then least) is authoritative, other values are divergent.
+    """(koid, property, value, status) of what is told of one property in several ways.
 
-    ``facts`` has koid, property, value, confidence, at.
+    ``facts`` has koid, property, value, confidence, at. The value of highest confidence (then latest,
+    then least) is 'authoritative'; another is 'conflict' if it contradicts that one, else
+    'divergence', and has no row if the two are equal but for case or share more than 0.85 of their
+    words. Each value is held against the authoritative one, not against all: a property with many
+    values costs as many rows. A property whose values all agree has no rows.
     """
     v = facts.groupBy("koid", "property", "value").agg(F.max(F.struct(F.coalesce("confidence", F.lit(-1.0)).alias("c"), F.col("at").alias("at"))).alias("t"))
     w = W.partitionBy("koid", "property").orderBy(F.desc("t"), "value")
-    return v.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("koid", "property"))).where("n > 1").select("koid", "property", "value", F.when(F.col("r") == 1, "authoritative").otherwise("divergent").alias("status"))
+    v = v.withColumn("r", F.row_number().over(w)).withColumn("best", F.first("value").over(w))
+    alike = (F.lower("value") == F.lower("best")) | (word_jaccard(F.lower("value"), F.lower("best")) > 0.85)
+    v = v.where((F.col("r") == 1) | ~F.coalesce(alike, F.lit(False))).withColumn("n", F.count("*").over(W.partitionBy("koid", "property")))
+    status = F.when(F.col("r") == 1, "authoritative").when(contradicts(F.col("best"), F.col("value")), "conflict").otherwise("divergence")
+    return v.where("n > 1").select("koid", "property", "value", status.alias("status"))
 
 
 def impact(evidence: DataFrame, changed: DataFrame) -> DataFrame:

@@ -87,6 +87,12 @@ def dedup_facts(spark, sf_dir):
 
 
 def find_conflicts(spark, sf_dir):
+    """Opposed or nearly equal statements about one entity."""
+    f = _facts(spark, sf_dir).select(F.col("koid").alias("entity"), F.concat_ws(" ", "property", "value").alias("statement"))
+    return k.statement_conflicts(f)
+
+
+def conflict_values(spark, sf_dir):
     return k.conflict_classes(_facts(spark, sf_dir)).select("koid", "property", "value", "documents", F.col("values").alias("n_values"))
 
 
@@ -143,7 +149,7 @@ def lag_percentiles(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     text_lines, document_blocks, extract_entities, extract_dates, cooccur_relations, chunk_documents, document_links, redact_secrets, injection_guard, pages_needing_ocr, resolve_entities, commit_actions, merge_entities,
-    dedup_facts, find_conflicts, detect_staleness, reconcile_impact, context_rank_entities, context_budget_pack, contradictions, recall_at_k, lag_percentiles,
+    dedup_facts, find_conflicts, conflict_values, detect_staleness, reconcile_impact, context_rank_entities, context_budget_pack, contradictions, recall_at_k, lag_percentiles,
 )}
 
 _RUN = r"[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)+"
@@ -202,6 +208,14 @@ def _cos(n: int) -> str:
     return f"round({z.format(a, b)} / sqrt({z.format(a, a)} * {z.format(b, b)}), 6)"
 
 
+def _words_sql(t: str) -> str:
+    return f"list_distinct(list_filter(string_split(trim(regexp_replace({t}, '\\s+', ' ', 'g')), ' '), lambda z: z <> ''))"
+
+
+def _jac_sql(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b})))"
+
+
 ORACLES = {
     "text_lines": "SELECT doc_id, line_number::INTEGER AS line_number, line FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_number FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents)) WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')",
     "extract_entities": f"SELECT DISTINCT node_id, unnest({_windows('runs')}) AS entity FROM (SELECT node_id, regexp_extract_all(text, '{_RUN}') AS runs FROM ast_node)",
@@ -224,10 +238,22 @@ SELECT action, count(*) AS entities FROM (SELECT CASE WHEN status = 'ambiguous'
 u AS (SELECT *, sum(cost) OVER (ORDER BY score DESC, coalesce(document_id, ''), key ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM p)
 SELECT document_id, key AS name_key, score, cost, used FROM u WHERE used <= 500""",
     "dedup_facts": _FACTS + "SELECT concat_ws(' ', koid, property, value) AS statement, min(document_id) AS document_id, max(round(confidence, 6)) AS confidence, count(*) AS copies FROM f GROUP BY 1",
-    "find_conflicts": _FACTS + "SELECT * FROM (SELECT koid, property, value, count(DISTINCT document_id) AS documents, count(*) OVER (PARTITION BY koid, property) AS n_values FROM f GROUP BY koid, property, value) WHERE n_values > 1",
-    "detect_staleness": _FACTS + """, v AS (SELECT koid, property, value, max(struct_pack(c := coalesce(confidence, -1), a := told)) AS t FROM f GROUP BY ALL)
-SELECT koid, property, value, CASE WHEN r = 1 THEN 'authoritative' ELSE 'divergent' END AS status FROM (
-  SELECT *, row_number() OVER (PARTITION BY koid, property ORDER BY t DESC, value) AS r, count(*) OVER (PARTITION BY koid, property) AS n FROM v) WHERE n > 1""",
+    "conflict_values": _FACTS + "SELECT * FROM (SELECT koid, property, value, count(DISTINCT document_id) AS documents, count(*) OVER (PARTITION BY koid, property) AS n_values FROM f GROUP BY koid, property, value) WHERE n_values > 1",
+    "find_conflicts": _FACTS + f""", s AS (SELECT DISTINCT koid AS entity, concat_ws(' ', property, value) AS st FROM f),
+o AS (SELECT * FROM (VALUES {', '.join(str(x) for x in k.OPPOSED)}) t(yes, no)),
+pos AS (SELECT entity, st, yes, {_words_sql("replace(replace(lower(st), no, ''), yes, '')")} AS w FROM s, o WHERE contains(replace(lower(st), no, ''), yes)),
+neg AS (SELECT entity, st, yes, {_words_sql("replace(lower(st), no, '')")} AS w FROM s, o WHERE contains(lower(st), no)),
+al AS (SELECT entity, st, {_words_sql('st')} AS w FROM s)
+SELECT DISTINCT p.entity, least(p.st, n.st) AS a, greatest(p.st, n.st) AS b, 'contradiction' AS kind FROM pos p JOIN neg n USING (entity, yes) WHERE p.st <> n.st AND {_jac_sql('p.w', 'n.w')} > 0.4
+UNION ALL SELECT x.entity, x.st, y.st, 'ambiguous' FROM al x JOIN al y ON x.entity = y.entity AND x.st < y.st WHERE {_jac_sql('x.w', 'y.w')} > 0.7 AND {_jac_sql('x.w', 'y.w')} < 0.95""",
+    "detect_staleness": _FACTS + f""", v AS (SELECT koid, property, value, max(struct_pack(c := coalesce(confidence, -1), a := told)) AS t FROM f GROUP BY ALL),
+r AS (SELECT koid, property, value, row_number() OVER w AS r, first_value(value) OVER w AS best FROM v WINDOW w AS (PARTITION BY koid, property ORDER BY t DESC, value)),
+q AS (SELECT *, {_words_sql('lower(value)')} AS wv, {_words_sql('lower(best)')} AS wb FROM r),
+h AS (SELECT *, count(*) OVER (PARTITION BY koid, property) AS n FROM q WHERE r = 1 OR NOT (lower(value) = lower(best) OR (len(list_distinct(list_concat(wv, wb))) > 0 AND {_jac_sql('wv', 'wb')} > 0.85)))
+SELECT koid, property, value, CASE WHEN r = 1 THEN 'authoritative'
+  WHEN {' OR '.join(f"contains(lower(best), '{t}') <> contains(lower(value), '{t}')" for t in k.TURNS)} THEN 'conflict'
+  WHEN trim(coalesce(string_split(lower(best), 'uses')[2], '')) <> '' AND trim(coalesce(string_split(lower(value), 'uses')[2], '')) <> '' AND trim(string_split(lower(best), 'uses')[2]) <> trim(string_split(lower(value), 'uses')[2]) THEN 'conflict'
+  ELSE 'divergence' END AS status FROM h WHERE n > 1""",
     "reconcile_impact": """
 WITH e AS (SELECT DISTINCT koid, document_id FROM entity_conflict WHERE koid IS NOT NULL AND document_id IS NOT NULL), d AS (SELECT DISTINCT koid FROM e WHERE document_id LIKE '%7')
 SELECT koid, 'Direct' AS severity FROM d UNION ALL SELECT DISTINCT koid, 'Indirect' FROM e WHERE document_id IN (SELECT document_id FROM e WHERE koid IN (SELECT koid FROM d)) AND koid NOT IN (SELECT koid FROM d)""",

@@ -208,4 +208,13 @@ def test_impact_and_lags(spark):
 def test_staleness_ties(spark):
     at = datetime(2025, 1, 1)
     f = spark.createDataFrame([("k", "p", "v1", 0.5, at), ("k", "p", "v2", 0.9, at), ("k", "q", "only", 0.1, at)], "koid string, property string, value string, confidence double, at timestamp")
-    assert keys(knowledge.staleness(f), "value", "status") == [("v1", "divergent"), ("v2", "authoritative")]
+    assert keys(knowledge.staleness(f), "value", "status") == [("v1", "divergence"), ("v2", "authoritative")]
+
+
+def test_staleness_severities(spark):
+    at = datetime(2025, 1, 1)
+    rows = [("a", "p", "the cache is used", 0.9), ("a", "p", "The cache is used", 0.5), ("a", "p", "the cache is not used", 0.4), ("a", "p", "a b c d e f g", 0.3), ("b", "p", "it uses one", 0.9), ("b", "p", "it uses two", 0.2), ("c", "p", "a b c d e f g h", 0.9), ("c", "p", "a b c d e f g h i", 0.8)]
+    f = spark.createDataFrame([(*r, at) for r in rows], "koid string, property string, value string, confidence double, at timestamp")
+    assert keys(knowledge.staleness(f), "koid", "value", "status") == [
+        ("a", "a b c d e f g", "divergence"), ("a", "the cache is not used", "conflict"), ("a", "the cache is used", "authoritative"), ("b", "it uses one", "authoritative"), ("b", "it uses two", "conflict"),
+    ]
