@@ -16,6 +16,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.expand_copies(near, members, 10).select(F.col("key_a").alias("koid_a"), F.col("key_b").alias("koid_b"))
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar of every embedding whose id is divisible by 50, against all, through the forest."""
+    from koengine.llm import ann
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.lit("one").alias("model"), F.col("embedding").alias("vec"))
+    near, members = ann.similar_vectors(e, k=10)
+    own = members.select("rid", F.col("key").alias("query_id")).where("query_id % 50 = 0")
+    other = members.select(F.col("rid").alias("other"), F.col("key").alias("id"))
+    return near.join(own, "rid").join(other, "other").select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("int").alias("rank"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose name means an entry of kb_entry without being its name letter for letter."""
     from koengine.llm.names import link_names
@@ -95,6 +106,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("field_name", "conflict_id")
 
 
+def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups with dependent fields kept together: the value with its extractor, what exists with its severity, the place with its own extractor, which must be the value's."""
+    from koengine.llm.survivor import survivors
+
+    c = table(spark, sf_dir, "entity_conflict")
+    e = F.try_element_at("evidence", F.lit(1))
+    c = c.withColumn("property_key", F.regexp_replace(F.lower("property_name"), r"[\s_\-./]+", ""))
+    c = c.withColumn("extractor", e["extractor"]).withColumn("place_extractor", e["extractor"]).withColumn("page", e["page"].cast("string")).withColumn("model", e["model"])
+    return survivors(
+        c, group=("document_id", "koid", "property_key"), key="conflict_id", bundles=(("document_value", "extractor"), ("existing_value", "severity"), ("page", "model", "place_extractor")),
+        trust=(e["confidence"], F.col("detected_at")), dependencies=(("extractor", "place_extractor"),),
+    ).select("document_id", "koid", "property_key", "field_name", "conflict_id", "value")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     from koengine.llm.tokens import encode_corpus
@@ -130,6 +155,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
@@ -139,12 +165,19 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
+    "p7_records": p7_records,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+_COSINE = f"round({_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('a.embedding', 'a.embedding')} * {_DOT.format('b.embedding', 'b.embedding')}), 6)"
 ORACLES: dict[str, str] = {
+    "p1_neighbours": f"""
+SELECT query_id, id, cosine, rank::INTEGER AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE} AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('b.embedding', 'b.embedding')}) DESC) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 10""",
     "p3_found": """
 SELECT DISTINCT a.node_id FROM ast_node a JOIN chunk_profile p ON p.block_type = coalesce(a.block_type, 'Unknown')
 WHERE length(a.text) > p.max_chars""",

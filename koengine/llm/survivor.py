@@ -2,10 +2,10 @@
 
 Fields that depend on each other form a bundle and survive together from one row; independent
 fields are bundles of one. Each bundle's candidates are reduced to the most trusted one for each
-distinct value before anything is gathered, and, where no functional dependency ties the bundle to
-another, to the most trusted one alone: it bounds all others. What is left (one entry, or one for
-each distinct value of a tied bundle) is searched by depth-first branch and bound, best first,
-maximising the summed trust under the dependencies.
+distinct value before anything is gathered, then to the most trusted one for each distinct value of
+the fields that a functional dependency ties to another bundle: of candidates alike in these the
+others can never be in a best choice. A bundle without ties keeps one. What is left is searched by
+depth-first branch and bound, best first, maximising the summed trust under the dependencies.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from koengine.runtime import ship_code
 STAND_INS = ("", "-", "--", "---", "?", "??", "n/a", "na", "ka", "keineangabe", "none", "null", "nil", "tbd", "tba", "unknown", "unbekannt", "inconnu", "desconocido", "notstated", "notknown", "notavailable", "notprovided", "missing", "undefined", "s/o", "nd", "n/d", "xxx")
 
 
+_NUMBERS = ("double", "float", "bigint", "int", "smallint", "tinyint")
+
+
 def value_key(c: Column) -> Column:
     """A value apart from case and spaces."""
     return F.regexp_replace(F.lower(c), r"[\s\x{A0}\x{2000}-\x{200B}\x{3000}\x{FEFF}]+", "")
@@ -76,7 +79,8 @@ def survivors(
 ) -> DataFrame:
     """(group..., bundle, field_name, key, value) of the surviving values of each group.
 
-    ``trust`` are columns compared in order (greater is better, null least). Of the rows of a group
+    ``trust`` are columns compared in order (greater is better, null least); where a dependency makes
+    bundles compete, the sum of the first (as a number above 0) decides. Of the rows of a group
     that hold the winning bundle value apart from case and spaces, the smallest key is given. A
     bundle's row is a candidate if at least one of its fields is usable; a field that is not usable
     does not survive. ``dependencies`` are pairs of fields of different bundles that must agree
@@ -107,14 +111,18 @@ def survivors(
     big = sizes.where("lo <> hi").select(*g) if min_rows == 2 else rows.select(*g, "key_").distinct().groupBy(*g).count().where(F.col("count") >= min_rows).select(*g)
     cand = each.where(F.exists("same", lambda v: v.isNotNull()))
     cand = cand.groupBy(*g, "bundle", "same").agg(F.max("trust_").alias("trust_"), F.min(F.struct("key_", "vals")).alias("x")).select(*g, "bundle", "same", "trust_", "x.*")
-    free = cand.where(~F.col("bundle").isin(*tied)) if tied else cand
-    best = free.groupBy(*g, "bundle").agg(F.max(F.struct("trust_", F.struct("same", "key_", "vals").alias("c"))).alias("x")).select(*g, "bundle", F.col("x.trust_").alias("trust_"), "x.c.*")
-    if tied:
-        best = best.select(*g, "bundle", "same", "trust_", "key_", "vals").unionByName(cand.where(F.col("bundle").isin(*tied)).select(*g, "bundle", "same", "trust_", "key_", "vals"))
+    none = F.array().cast("array<string>")
+    tie_values = none
+    for b in sorted(tied):
+        at = sorted({t[1] for t in ties if t[0] == b} | {t[3] for t in ties if t[2] == b})
+        tie_values = F.when(F.col("bundle") == b, F.array(*[F.element_at("same", i + 1) for i in at])).otherwise(tie_values)
+    best = cand.groupBy(*g, "bundle", tie_values.alias("tie_")).agg(F.max(F.struct("trust_", F.struct("same", "key_", "vals").alias("c"))).alias("x")).select(*g, "bundle", F.col("x.trust_").alias("trust_"), "x.c.*")
     best = best.join(big, g, "left_semi")
-    # sorted by trust, so a place in the list stands for it
-    entries = F.sort_array(F.collect_list(F.struct("trust_", "bundle", "same", "key_", "vals")), asc=False)
-    packs = best.groupBy(*g).agg(F.transform(entries, lambda e: F.struct(e["bundle"].alias("bundle"), e["same"].alias("same"), e["key_"].alias("key_"), e["vals"].alias("vals"))).alias("cands"))
+    # sorted by all trust columns; the search adds up the first, and equal sums go to the earlier place
+    first = F.greatest(F.lit(1e-9), F.coalesce(F.col("trust_.t0").cast("double"), F.lit(0.0))) if trust and dict(rows.select("trust_.t0").dtypes)["t0"] in _NUMBERS else F.lit(1.0)
+    best = best.withColumn("weight_", first)
+    entries = F.sort_array(F.collect_list(F.struct("trust_", "bundle", "same", "key_", "vals", "weight_")), asc=False)
+    packs = best.groupBy(*g).agg(F.transform(entries, lambda e: F.struct(e["bundle"].alias("bundle"), e["same"].alias("same"), e["key_"].alias("key_"), e["vals"].alias("vals"), e["weight_"].alias("weight_"))).alias("cands"))
     n = len(bundles)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -125,7 +133,7 @@ def survivors(
                 by: list[list] = [[] for _ in range(n)]
                 at: list[list[int]] = [[] for _ in range(n)]
                 for i, c in enumerate(cands):
-                    by[c["bundle"]].append((float(len(cands) - i), list(c["same"])))
+                    by[c["bundle"]].append((float(c["weight_"]), list(c["same"])))
                     at[c["bundle"]].append(i)
                 chosen = choose_bundles(by, ties)
                 out.append([at[b][k] for b, k in enumerate(chosen) if k >= 0])

@@ -139,6 +139,17 @@ def test_bundles_survive_together(spark):
     assert {(r["field_name"], r["id"]) for r in got.collect()} == {("street", 1), ("city", 1), ("code", 2)}
 
 
+def test_dependent_bundles_give_up_trust_for_agreement(spark):
+    rows = [("g", i, t, v, x, p, x) for i, (t, v, x, p) in enumerate([(0.9, "A", "ocr", None), (0.6, "B", "pdf", "7"), (0.5, "C", "ocr", "-"), (0.55, "D", "pdf", "9")])]
+    rows += [("hot", 100 + i, i / 5000, f"v{i}", "ocr" if i % 2 else "pdf", str(i), "ocr" if i % 2 else "pdf") for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, id long, conf double, val string, ext string, page string, pext string")
+    got = survivor.survivors(df, group=("g",), key="id", bundles=(("val", "ext"), ("page", "pext")), trust=(F.col("conf"),), dependencies=(("ext", "pext"),)).collect()
+    by = lambda g: {r["field_name"]: r["value"] for r in got if r["g"] == g}
+    # the ocr value (0.9) with the ocr row's empty place (0.9) beats the pdf pair (0.6 + 0.6)
+    assert by("g") == {"val": "A", "ext": "ocr", "pext": "ocr"}
+    assert by("hot") == {"val": "v3999", "ext": "ocr", "page": "3999", "pext": "ocr"}
+
+
 def test_branch_and_bound_against_all_choices():
     import itertools
 

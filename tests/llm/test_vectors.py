@@ -85,3 +85,49 @@ def test_latest_live(spark):
     )
     assert [r["koid"] for r in ann.latest_live(df).collect()] == ["b"]
     assert F is not None
+
+
+def test_large_leaves_are_parted_again():
+    import numpy as np
+    import pyarrow as pa
+
+    from koengine.llm import ann
+
+    rng = np.random.default_rng(3)
+    # 3,000 near-copies of one vector and 3,000 scattered ones in one leaf
+    x = np.concatenate([np.ones((3000, 16)) + 1e-3 * rng.standard_normal((3000, 16)), rng.standard_normal((3000, 16))]).astype(np.float32)
+    own = np.ones(len(x), dtype=bool)
+    own[::3] = False  # visitors of other leaves
+    parts = ann._sub_leaves(x, own, 500)
+    members = np.concatenate([m for _, m in parts])
+    assert sorted(members) == sorted(np.flatnonzero(own)) and max(len(m) for _, m in parts) <= 500
+    assert set(np.concatenate([q for q, _ in parts])) == set(range(len(x)))
+    codes = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    t = pa.table({"rid": pa.array(np.arange(len(x))), "own": pa.array(own), "norm": pa.array(np.linalg.norm(codes.astype(np.float32), axis=1).astype(np.float32)), "code": [c.tobytes() for c in codes]})
+    whole = ann._score_leaf(10, 10, 0.9, most=len(x))(None, t)
+    cut = ann._score_leaf(10, 10, 0.9, most=500)(None, t)
+    assert whole.num_rows <= 20 * len(x) and cut.num_rows <= 20 * 3 * len(x)
+
+
+def test_forest_of_many_levels_keeps_its_recall(spark):
+    """10 nearest at depth 11, against brute force."""
+    import numpy as np
+
+    from koengine.llm import ann
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((400, 24))
+    x = (centres[rng.integers(0, 400, 6000)] + 0.25 * rng.standard_normal((6000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", v.tolist()) for i, v in enumerate(x)], "key long, model string, vec array<float>")
+    near, members = ann.similar_vectors(df, k=10, leaf_rows=3, trees=6, probes=60)
+    key = {r["rid"]: r["key"] for r in members.collect()}
+    got = {}
+    for r in near.collect():
+        got.setdefault(key[r["rid"]], set()).add(key[r["other"]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, 6000, 50):
+        sim = u @ u[i]
+        sim[i] = -2
+        hits += len(set(np.argsort(-sim)[:10].tolist()) & got.get(i, set()))
+    assert hits >= 0.9 * 10 * 120
