@@ -7,16 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from koengine.functions.text import name_similarity, normalize_name, tokens
 
 
-def resolve(names: DataFrame, kb: DataFrame, least: float = 0.5, gap: float = 0.15) -> DataFrame:
-    """(name, koid, score, status): matched, ambiguous (the runner-up is within ``gap``) or unmatched.
-
-    ``names`` has (name), ``kb`` (koid, name). Every pair that can score at all shares a token or has
-    one name inside the other, so candidates come from an equi-join on tokens and on substrings (the
-    first three letters of one, or all of a shorter one, among the substrings of that length of the
-    other): no pair is lost and none is compared in vain.
-    """
-    n = names.select("name").where("name IS NOT NULL").distinct()
-    k = kb.select("koid", F.col("name").alias("kb_name")).where("kb_name IS NOT NULL")
+def _scored(n: DataFrame, k: DataFrame, least: float) -> DataFrame:
+    """(name, koid, kb_name, score) of the pairs of names (name) and entries' spellings (koid, kb_name) that score ``least``."""
 
     def grams(c: Column) -> Column:
         low = F.lower(c)
@@ -29,7 +21,19 @@ def resolve(names: DataFrame, kb: DataFrame, least: float = 0.5, gap: float = 0.
     by_token = n.select("name", F.explode(tokens(F.col("name"))).alias("t")).join(k.select("koid", "kb_name", F.explode(tokens(F.col("kb_name"))).alias("t")), "t").select("name", "koid", "kb_name")
     inner = n.select("name", first(F.col("name")).alias("t")).join(k.select("koid", "kb_name", F.explode(grams(F.col("kb_name"))).alias("t")), "t").select("name", "koid", "kb_name")
     outer = n.select("name", F.explode(grams(F.col("name"))).alias("t")).join(k.select("koid", "kb_name", first(F.col("kb_name")).alias("t")), "t").select("name", "koid", "kb_name")
-    scored = by_token.unionByName(inner).unionByName(outer).distinct().withColumn("score", F.round(name_similarity(F.col("name"), F.col("kb_name")), 6)).where(F.col("score") >= least)
+    return by_token.unionByName(inner).unionByName(outer).distinct().withColumn("score", F.round(name_similarity(F.col("name"), F.col("kb_name")), 6)).where(F.col("score") >= least)
+
+
+def resolve(names: DataFrame, kb: DataFrame, least: float = 0.5, gap: float = 0.15) -> DataFrame:
+    """(name, koid, score, status): matched, ambiguous (the runner-up is within ``gap``) or unmatched.
+
+    ``names`` has (name), ``kb`` (koid, name). Every pair that can score at all shares a token or has
+    one name inside the other, so candidates come from an equi-join on tokens and on substrings (the
+    first three letters of one, or all of a shorter one, among the substrings of that length of the
+    other): no pair is lost and none is compared in vain.
+    """
+    n = names.select("name").where("name IS NOT NULL").distinct()
+    scored = _scored(n, kb.select("koid", F.col("name").alias("kb_name")).where("kb_name IS NOT NULL"), least)
     w = W.partitionBy("name").orderBy(F.desc("score"), "koid")
     two = scored.withColumn("r", F.row_number().over(w)).where("r <= 2")
     best = two.groupBy("name").agg(F.min_by("koid", "r").alias("koid"), F.max("score").alias("score"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
@@ -214,3 +218,35 @@ def lag_stats(lags: DataFrame, by: str, lag: str = "lag", p: float = 0.95) -> Da
     at = run.join(total.select(F.col(by).alias("b_"), "n"), F.col(by).eqNullSafe(F.col("b_"))).where(F.col("upto") > F.floor((F.col("n") - 1) * p)).groupBy(by).agg(F.min(lag).alias("p_lag"))
     at = at.select(F.col(by).alias("a_"), "p_lag")
     return total.join(at, F.col(by).eqNullSafe(F.col("a_"))).select(by, "n", F.col("mean_lag").cast("long").alias("mean_lag"), F.col("max_lag").cast("long").alias("max_lag"), F.col("p_lag").cast("long").alias("p_lag"))
+
+
+#: Type names that mean the same.
+SAME_TYPES = (("company", "organization"), ("person", "individual"), ("location", "place"))
+
+
+def types_match(a: Column, b: Column) -> Column:
+    """Two type names fit: equal, one inside the other, or of one meaning; case is ignored and null fits nothing."""
+    x, y = F.lower(a), F.lower(b)
+    same = (x == y) | x.contains(y) | y.contains(x)
+    for p, q in SAME_TYPES:
+        same = same | ((x == p) & (y == q)) | ((x == q) & (y == p))
+    return F.coalesce(same, F.lit(False))
+
+
+def resolve_typed(names: DataFrame, kb: DataFrame, least: float = 0.5, gap: float = 0.15) -> DataFrame:
+    """(name, type_hint, koid, score, status) as :func:`resolve`, over names and aliases, with the type in the decision.
+
+    ``names`` has (name, type_hint), ``kb`` (koid, name, type_name, aliases). An entry scores by the best
+    of its name and aliases; a hint that does not match the entry's type rules it out, no hint fits all.
+    """
+    spelled = kb.select("koid", "type_name", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelling")).where("spelling IS NOT NULL")
+    n = names.select("name", "type_hint").where("name IS NOT NULL").distinct()
+    scored = _scored(n.select("name").distinct(), spelled.select(F.col("koid"), F.col("spelling").alias("kb_name")), least).groupBy("name", "koid").agg(F.max("score").alias("score"))
+    scored = n.join(scored, "name").join(kb.select("koid", "type_name"), "koid").where(F.col("type_hint").isNull() | types_match(F.col("type_hint"), F.col("type_name")))
+    w = W.partitionBy("name", "type_hint").orderBy(F.desc("score"), "koid")
+    two = scored.withColumn("r", F.row_number().over(w)).where("r <= 2")
+    best = two.groupBy("name", "type_hint").agg(F.min_by("koid", "r").alias("koid"), F.max("score").alias("score"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
+    best = best.withColumnsRenamed({"name": "n_", "type_hint": "t_"})
+    out = n.join(best, (n["name"] == best["n_"]) & n["type_hint"].eqNullSafe(best["t_"]), "left")
+    status = F.when(F.col("score").isNull(), "unmatched").when(F.col("second").isNotNull() & (F.round(F.col("score") - F.col("second"), 6) < gap), "ambiguous").otherwise("matched")
+    return out.select("name", "type_hint", "koid", F.coalesce("score", F.lit(0.0)).alias("score"), status.alias("status"))

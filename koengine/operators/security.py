@@ -71,3 +71,32 @@ def tenant_quota(heads: DataFrame, quota: int) -> DataFrame:
     """(tenant, live, over) of every tenant: live objects counted, and whether they exceed the quota."""
     live = heads.where(~F.coalesce(F.col("state"), F.lit("")).eqNullSafe("deleted"))
     return live.groupBy("tenant").agg(F.count("*").alias("live")).withColumn("over", F.col("live") > quota)
+
+
+def encrypt_fields(df: DataFrame, fields: Iterable[str], keys: DataFrame, *, tenant: str = "tenant") -> DataFrame:
+    """``df`` with the fields' texts replaced by AES-GCM ciphers in base64, under each tenant's key.
+
+    ``keys`` has (tenant, key: binary of 16, 24 or 32 bytes), a row for each tenant. The tenant's name
+    is bound to the cipher, so it cannot be moved to another tenant. Null fields stay null. A row
+    whose tenant has no key fails when it is read: nothing is stored in the clear by accident.
+    """
+    k = keys.select(F.col("tenant").alias("k_tenant"), F.col("key").alias("k_"))
+    joined = df.join(k, F.col(tenant).eqNullSafe(F.col("k_tenant")), "left")
+    key = F.when(F.col("k_").isNotNull(), F.col("k_")).otherwise(F.raise_error(F.concat(F.lit("no key for tenant "), F.coalesce(F.col(tenant), F.lit("null")))).cast("binary"))
+    bound = F.coalesce(F.col(tenant), F.lit(""))
+    out = {f: F.when(F.col(f).isNotNull(), F.base64(F.aes_encrypt(F.col(f).cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), bound))) for f in fields}
+    return joined.withColumns(out).drop("k_tenant", "k_")
+
+
+def decrypt_fields(df: DataFrame, fields: Iterable[str], keys: DataFrame, *, tenant: str = "tenant") -> DataFrame:
+    """The reverse of :func:`encrypt_fields`; a field is null if its tenant has no key or the cipher was changed."""
+    k = keys.select(F.col("tenant").alias("k_tenant"), F.col("key").alias("k_"))
+    joined = df.join(k, F.col(tenant).eqNullSafe(F.col("k_tenant")), "left")
+    bound = F.coalesce(F.col(tenant), F.lit(""))
+    out = {f: F.try_aes_decrypt(F.unbase64(F.col(f)), F.col("k_"), F.lit("GCM"), F.lit("DEFAULT"), bound).cast("string") for f in fields}
+    return joined.withColumns(out).drop("k_tenant", "k_")
+
+
+def readable(df: DataFrame, subject: Subject, **rules) -> DataFrame:
+    """The rows that ``subject`` may read: :func:`authorized` as a filter inside the scan, before any search or traversal."""
+    return df.where(authorized(df, subject, "read", **rules))
