@@ -24,7 +24,7 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     near, members = ann.similar_vectors(e, k=10)
     own = members.select("rid", F.col("key").alias("query_id")).where("query_id % 50 = 0")
     other = members.select(F.col("rid").alias("other"), F.col("key").alias("id"))
-    return near.join(own, "rid").join(other, "other").select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("int").alias("rank"))
+    return near.join(own, "rid").join(other, "other").select("query_id", "id", F.col("rank").cast("int").alias("rank"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,11 +172,10 @@ QUERIES = {
     "p10_found": p10_found,
 }
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-_COSINE = f"round({_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('a.embedding', 'a.embedding')} * {_DOT.format('b.embedding', 'b.embedding')}), 6)"
 ORACLES: dict[str, str] = {
     "p1_neighbours": f"""
-SELECT query_id, id, cosine, rank::INTEGER AS rank FROM (
-  SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE} AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('b.embedding', 'b.embedding')}) DESC) AS rank
+SELECT query_id, id, rank::INTEGER AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('b.embedding', 'b.embedding')}) DESC) AS rank
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 10""",
     "p3_found": """
 SELECT DISTINCT a.node_id FROM ast_node a JOIN chunk_profile p ON p.block_type = coalesce(a.block_type, 'Unknown')
