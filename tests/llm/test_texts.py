@@ -166,3 +166,12 @@ def test_residue_subtracts_recurrent_lines(spark):
     rows = [(i, f"{nav}\nA sentence about topic number {i} that stands by itself.", f"h{i % 5}") for i in range(20)] + [(99, f"{nav}\nPlease enable JavaScript to view this page.", "h0")]
     df = spark.createDataFrame(rows, "id long, text string, host string")
     assert [r["id"] for r in residue.find_residue(df, key="id", text="text", host="host").collect()] == [99]
+
+
+def test_residue_counts_the_words_of_every_document(spark):
+    """What 30,000 of 40,000 ordinary documents say is no evidence; a draw of 20,000 by the hash of the text (as once) holds none of these copies."""
+    line = "Wombat tripped over quux."
+    rows = [(i, f"503 Service Unavailable\nThe server is temporarily unavailable, please try again later.\n{line}", f"h{i}") for i in range(12)] + [(500, line, "h3")]
+    many = spark.range(1000, 41_000).select("id", F.when(F.col("id") < 31_000, "The wombat of the team tripped over a quux in garden 11.").otherwise("A plain note about the import batch.").alias("text"), F.concat(F.lit("h"), F.col("id") % 9).alias("host"))
+    df = many.unionByName(spark.createDataFrame(rows, "id long, text string, host string"))
+    assert {r["id"] for r in residue.find_residue(df, key="id", text="text", host="host").collect()} == set(range(12))
